@@ -48,8 +48,9 @@ def race_seconds(value: Column | str) -> Column:
     text = F.trim(_col(value))
     shape = r"^(?:(\d+)[.:])?(\d+)\.(\d+)$"
     minutes = F.coalesce(F.nullif(F.regexp_extract(text, shape, 1), F.lit("")).cast("double"), F.lit(0.0))
-    rest = F.concat(F.regexp_extract(text, shape, 2), F.lit("."), F.regexp_extract(text, shape, 3))
-    return F.when(text.rlike(shape), minutes * 60 + rest.try_cast("double"))
+    seconds = F.nullif(F.regexp_extract(text, shape, 2), F.lit("")).cast("double")
+    fraction = F.concat(F.lit("0."), F.regexp_extract(text, shape, 3)).try_cast("double")
+    return F.when(text.rlike(shape), minutes * 60 + seconds + fraction)
 
 
 def local_day(instant: Column | str, zone: str = LOCAL_ZONE) -> Column:

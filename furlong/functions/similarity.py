@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -21,15 +24,19 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64"
     )
 
 
+@cache
+def _udf():
+    return F.pandas_udf(_ratios, T.DoubleType())
+
+
 def ratio(a: Column, b: Column) -> Column:
-    return _ratio(a, b)
+    return _udf()(a, b)
 
 
 def token_sort(value: Column) -> Column:
@@ -38,4 +45,4 @@ def token_sort(value: Column) -> Column:
 
 def best_ratio(a: Column, b: Column) -> Column:
     """The better of the plain and the word-order-free ratio."""
-    return F.greatest(_ratio(a, b), _ratio(token_sort(a), token_sort(b)))
+    return F.greatest(ratio(a, b), ratio(token_sort(a), token_sort(b)))

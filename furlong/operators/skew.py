@@ -25,7 +25,7 @@ SLICES = 128
 HOT_ROWS_CONF = "spark.furlong.hotKeyRows"
 HOT_ROWS_DEFAULT = 2_000_000
 CHECK_BYTES_CONF = "spark.furlong.hotKeyCheckBytes"
-CHECK_BYTES_DEFAULT = 4 << 30
+CHECK_BYTES_DEFAULT = 1 << 30
 
 Order = list[str]  # column names; a leading "-" means descending
 
@@ -34,9 +34,14 @@ def _conf(df: DataFrame, key: str, default: int) -> int:
     return int(df.sparkSession.conf.get(key, str(default)))
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
+def _input_bytes(df: DataFrame) -> int | None:
+    """Size of all inputs of the plan (files, cached data), or None if it cannot be told.
+
+    The inputs are summed because a join's own estimate is the product of its sides.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # remote sessions expose no plan statistics
         return None
 
@@ -44,11 +49,11 @@ def _estimated_bytes(df: DataFrame) -> int | None:
 def find_hot(df: DataFrame, keys: list[str]) -> DataFrame | None:
     """Keys with too many rows for one task, or None.
 
-    One column-pruned count with map-side combine. Skipped when the plan's own size
-    estimate says the whole input fits a few tasks anyway.
+    One column-pruned count with map-side combine. Skipped when the inputs are so small
+    that a task could hold all of them; this decides speed only, never the result.
     """
-    estimate = _estimated_bytes(df)
-    if estimate is not None and estimate < _conf(df, CHECK_BYTES_CONF, CHECK_BYTES_DEFAULT):
+    size = _input_bytes(df)
+    if size is not None and size < _conf(df, CHECK_BYTES_CONF, CHECK_BYTES_DEFAULT):
         return None
     limit = _conf(df, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
     hot = (

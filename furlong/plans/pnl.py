@@ -142,7 +142,7 @@ def model_comparison(diag: DataFrame, stake: float) -> DataFrame:
     rank, market = F.col("winner_rank"), F.col("winner_agf_rank")
     invested = F.count("net_return") * F.lit(stake)
     profit = F.coalesce(F.sum("net_return"), F.lit(0.0)) * F.lit(stake)
-    pct = lambda n: 100.0 * F.avg((rank <= n).cast("double"))
+    pct = lambda n: F.try_divide(100.0 * F.count_if(rank <= n), F.count(F.lit(1)))
     return diag.groupBy("model").agg(
         F.count(F.lit(1)).alias("evaluated_race_count"),
         *[F.count_if(rank <= n).alias(f"top{n}_count") for n in (1, 3, 5)],

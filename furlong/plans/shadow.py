@@ -13,7 +13,7 @@ from furlong.plans.diagnostics import by_dimension
 def metrics(stake: float = 1.0) -> list[Column]:
     rank, market, odds = F.col("winner_rank"), F.col("winner_agf_rank"), F.col("bet_official_odds")
     net = F.when(odds.isNotNull(), F.when(rank == 1, stake * (odds - 1.0)).otherwise(-stake))
-    pct = lambda n: 100.0 * F.avg((rank <= n).cast("double"))
+    pct = lambda n: F.try_divide(100.0 * F.count_if(rank <= n), F.count(F.lit(1)))
     return [
         F.count(F.lit(1)).alias("evaluated_race_count"),
         *[F.coalesce(pct(n), F.lit(0.0)).alias(f"top{n}_accuracy") for n in (1, 3, 5)],
@@ -58,7 +58,7 @@ def rolling_daily(diag: DataFrame, spans: tuple[int, ...] = (7, 30)) -> DataFram
     daily = diag.groupBy("race_date").agg(
         F.count(F.lit(1)).alias("evaluated_race_count"),
         F.sum((F.col("winner_rank") == 1).cast("long")).alias("_hits"),
-        (100.0 * F.avg((F.col("winner_rank") == 1).cast("double"))).alias("top1_accuracy"),
+        (100.0 * F.count_if(F.col("winner_rank") == 1) / F.count(F.lit(1))).alias("top1_accuracy"),
     )
     out = daily.withColumn("_day", F.unix_date("race_date"))
     for span in spans:

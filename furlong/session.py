@@ -25,6 +25,10 @@ SESSION_CONF = {
 }
 
 
+# Schemas already read from file footers in this process.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
@@ -38,7 +42,12 @@ def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
     the cast column are rewritten by Catalyst only for literals, hence callers filter early.
     """
     configure(spark)
-    df = spark.read.parquet(f"{directory.rstrip('/')}/{table}.parquet")
+    path = f"{directory.rstrip('/')}/{table}.parquet"
+    if path in _SCHEMAS:
+        df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    else:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
     casts = {
         f.name: F.col(f.name).cast("timestamp")
         for f in df.schema.fields
@@ -72,6 +81,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: set[str] = set()
+
+
+def written(spark: SparkSession, name: str, build) -> DataFrame:
+    """A derived table, written once per application into the shared folder and then read.
+
+    Queries that start from the same derived table share it instead of recomputing it, and a
+    lost executor costs a file read, not the lineage.
+    """
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
+    if path not in _WRITTEN:
+        df = build()
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        _SCHEMAS[path] = df.schema
+        _WRITTEN.add(path)
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared folder, so a lost executor costs no recomputation."""
     context = df.sparkSession.sparkContext
