@@ -14,14 +14,17 @@ def indel_ratio(a: str, b: str) -> float:
     """100 * (1 - indel distance / total length) = 200 * LCS / (len a + len b)."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return 200.0 * row[-1] / (len(a) + len(b))
+    # bit-parallel longest common subsequence: a zero bit per matched position of a
+    places: dict[str, int] = {}
+    for i, letter in enumerate(a):
+        places[letter] = places.get(letter, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    open_places = full
+    for letter in b:
+        here = open_places & places.get(letter, 0)
+        open_places = ((open_places + here) | (open_places - here)) & full
+    common = len(a) - open_places.bit_count()
+    return 200.0 * common / (len(a) + len(b))
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,13 +64,20 @@ def squeeze(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(value), r"\s+", " "))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def repair_mojibake(value: Column | str) -> Column:
     """Undo UTF-8 bytes read as Latin-1; the text is kept where that is not what happened."""
-    value = _col(value)
-    fits_one_byte = ~value.rlike(r"[^\u0000-\u00FF]")
-    decoded = F.decode(F.encode(value, "ISO-8859-1"), "UTF-8")
-    valid = ~decoded.contains("\ufffd")
-    return F.when(value.rlike("[ÃÄÅ]") & fits_one_byte & valid, decoded).otherwise(value)
+
+    def repaired(v: Column) -> Column:
+        decoded = F.decode(F.encode(v, "ISO-8859-1"), "UTF-8")
+        suspect = v.rlike("[ÃÄÅ]") & ~v.rlike(r"[^\u0000-\u00FF]")
+        return F.when(suspect & ~decoded.contains("\ufffd"), decoded).otherwise(v)
+
+    return bind(_col(value), repaired)
 
 
 def strip_accents(value: Column | str) -> Column:
@@ -87,11 +95,15 @@ def clean_track(value: Column | str) -> Column:
     text = F.regexp_replace(text, r"(?i)\s*\(\s*\d+\.?\s*Y\.?G\.?\s*\)\s*$", "")
     text = F.regexp_replace(text, r"(?iu)\s*\([^)]*Yar[ıi]ş\s+G[üu]n[üu][^)]*\)\s*$", "")
     text = F.trim(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", ""))
-    key = fold(text)
-    result = F.when(text == "", F.lit(UNKNOWN_TRACK)).otherwise(text)
-    for alias, city in reversed(TRACK_ALIASES.items()):
-        result = F.when(key.startswith(alias), F.lit(city)).otherwise(result)
-    return result
+
+    def resolved(pair: Column) -> Column:
+        name = F.when(pair["text"] == "", F.lit(UNKNOWN_TRACK)).otherwise(pair["text"])
+        for alias, city in reversed(TRACK_ALIASES.items()):
+            name = F.when(pair["key"].startswith(alias), F.lit(city)).otherwise(name)
+        return name
+
+    with_key = bind(text, lambda t: F.struct(t.alias("text"), fold(t).alias("key")))
+    return bind(with_key, resolved)
 
 
 def track_key(value: Column | str) -> Column:
@@ -107,11 +119,11 @@ def is_domestic_track(value: Column | str) -> Column:
 
 
 def track_policy(value: Column | str) -> Column:
-    base = first_word(track_key(value))
-    return (
-        F.when(base.isin(MANDATORY_CITIES), "mandatory")
+    return bind(
+        first_word(track_key(value)),
+        lambda base: F.when(base.isin(MANDATORY_CITIES), "mandatory")
         .when(base.isin(list(DOMESTIC_CITIES)), "supported")
-        .otherwise("unsupported")
+        .otherwise("unsupported"),
     )
 
 

@@ -325,11 +325,11 @@ def event_race_match(
         races.select(*on, F.col(race_number).alias("_rn"), F.col(race).alias("matched_race")), on
     )
     same = F.coalesce(F.col(number) == F.col("_rn"), F.lit(False))
-    best = latest.latest_by(candidates, [event_id], [same.desc(), F.col("matched_race").asc()])
-    return events.join(
-        best.select(event_id, "matched_race", F.coalesce(F.col(number) == F.col("_rn"), F.lit(False)).alias("same_number")),
-        event_id, "left",
+    best = latest.latest_by(
+        candidates.withColumn("same_number", same), [event_id],
+        [F.col("same_number").desc(), F.col("matched_race").asc()],
     )
+    return events.join(best.select(event_id, "matched_race", "same_number"), event_id, "left")
 
 
 def replace_name_ids(snapshots: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:

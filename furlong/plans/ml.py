@@ -229,8 +229,8 @@ def permutation_importance(
     )
     reference = losses.filter("_feature IS NULL").agg(F.max("loss")).scalar()
     return losses.filter("_feature IS NOT NULL").groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(F.col("loss") - reference).alias("importance")
-    )
+        F.avg("loss").alias("_shuffled")
+    ).select("feature", (F.col("_shuffled") - reference).alias("importance"))
 
 
 def gain_importance(model: PipelineModel, df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
