@@ -280,7 +280,10 @@ INCIDENT_WORDS = ["KOŞMAYACAK", "TOPALLIK", "CEZA", "KULAKLIK", "ANTRENÖR DEĞ
 
 @base.stored
 def _incidents(spark, d):
-    """Incident paragraphs about entrants of the given races, parsed back from text."""
+    """Incident paragraphs about entrants of the given races, parsed back from text.
+
+    The equipment code DB also occurs inside names; the flag is a plain substring search.
+    """
     words = F.element_at(F.array(*[F.lit(w) for w in INCIDENT_WORDS]), (F.col("entrant") % 5 + 1).cast("int"))
     sentence = F.concat(
         F.col("race_no").cast("string"), F.lit(". koşuda "), F.col("entrant").cast("string"), F.lit(" numarada kayıtlı AT "),
@@ -298,7 +301,7 @@ def _incidents(spark, d):
 @query(
     "incident_events",
     base.SQL + """SELECT race_id, CAST(entrant AS INTEGER) AS horse_no, race_no, 'AT ' || translate(CAST(horse AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name_key,
-  CASE entrant % 5 WHEN 0 THEN 'scratch' WHEN 1 THEN 'medical' WHEN 2 THEN 'steward_incident' WHEN 3 THEN 'equipment_change' ELSE 'trainer_change' END AS incident_type FROM prog WHERE horse % 4 = 0""",
+  CASE entrant % 5 WHEN 0 THEN 'scratch' WHEN 1 THEN 'medical' WHEN 2 THEN CASE WHEN contains(CAST(horse AS VARCHAR), '31') THEN 'equipment_change' ELSE 'steward_incident' END WHEN 3 THEN 'equipment_change' ELSE 'trainer_change' END AS incident_type FROM prog WHERE horse % 4 = 0""",
 )
 def incident_events(spark, d):
     return _incidents(spark, d).select(
@@ -309,7 +312,7 @@ def incident_events(spark, d):
 @query(
     "incident_enrichment",
     base.SQL + """, r AS (SELECT race_id, entrant, horse, CAST(race_start_at AS DATE) AS day FROM prog), e AS (SELECT race_id, horse, day, entrant % 5 AS k FROM r WHERE horse % 4 = 0),
-own AS (SELECT race_id, horse, bool_or(k = 4) AS tr, bool_or(k = 3) AS eq, bool_or(k = 1) AS la, bool_or(k = 2) AS st, bool_or(k = 0) AS sc FROM e GROUP BY ALL),
+own AS (SELECT race_id, horse, bool_or(k = 4) AS tr, bool_or(k = 3 OR contains(CAST(horse AS VARCHAR), '31')) AS eq, bool_or(k = 1) AS la, bool_or(k = 2) AS st, bool_or(k = 0) AS sc FROM e GROUP BY ALL),
 c AS (SELECT r.race_id, r.entrant, count(*) FILTER (e.k = 2 AND e.day >= r.day - 30) AS i30, count(*) FILTER (e.k = 0 AND e.day >= r.day - 30) AS s30, count(*) FILTER (e.k = 1) AS v180, count(*) FILTER (e.k = 2) AS s180
   FROM r LEFT JOIN e ON e.horse = r.horse AND e.day < r.day AND e.day >= r.day - 180 GROUP BY r.race_id, r.entrant)
 SELECT r.race_id, r.entrant, CAST(coalesce(tr, false) AS INTEGER) AS had_trainer_change, CAST(coalesce(eq, false) AS INTEGER) AS had_equipment_change, CAST(coalesce(la, false) AS INTEGER) AS had_lameness_issue, CAST(coalesce(st, false) AS INTEGER) AS had_steward_incident,
