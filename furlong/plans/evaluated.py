@@ -53,25 +53,29 @@ def top_picks(predictions: DataFrame, models: dict[str, str]) -> DataFrame:
     )
 
 
-def winners(results: DataFrame, programs: DataFrame) -> DataFrame:
-    """Winner set per race; a dead heat keeps every winner."""
-    named = results.filter("finish_position = 1").join(
-        programs.select("race_id", "horse_id", "horse_name"), ["race_id", "horse_id"], "left"
-    )
-    return named.groupBy("race_id").agg(
-        F.array_sort(F.collect_list(F.col("horse_id"))).alias("winner_ids"),
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.struct("horse_id", F.coalesce("horse_name", F.col("horse_id").cast("string")).alias("n"))
-                    )
-                ),
-                lambda s: s["n"],
-            ),
-            ", ",
-        ).alias("winner_name"),
-        F.max("result_odds").alias("winner_decimal_odds"),
+def entrants(results: DataFrame, programs: DataFrame) -> DataFrame:
+    """Programme and result of every entrant side by side.
+
+    Both sides are already partitioned by (race, horse) from picking their latest rows, so
+    the join moves nothing.
+    """
+    return programs.select(
+        "race_id", "horse_id", "horse_name", "race_class", "surface", "distance", "track", "race_no"
+    ).join(results.select("race_id", "horse_id", "finish_position", "result_odds"), ["race_id", "horse_id"], "full")
+
+
+def winners(field: DataFrame) -> DataFrame:
+    """Winner set, city and number per race; a dead heat keeps every winner."""
+    won = F.col("finish_position") == 1
+    named = F.struct("horse_id", F.coalesce("horse_name", F.col("horse_id").cast("string")).alias("n"))
+    return field.groupBy("race_id").agg(
+        F.array_sort(F.collect_list(F.when(won, named))).alias("_w"),
+        F.max(F.when(won, F.col("result_odds"))).alias("winner_decimal_odds"),
+        F.max("track").alias("city"), F.max("race_no").alias("race_no"),
+    ).filter(F.size("_w") > 0).select(
+        "race_id", F.transform("_w", lambda w: w["horse_id"]).alias("winner_ids"),
+        F.array_join(F.transform("_w", lambda w: w["n"]), ", ").alias("winner_name"),
+        "winner_decimal_odds", "city", "race_no",
     )
 
 
@@ -87,23 +91,19 @@ def evaluated(
     Odds of a correct pick: official, else its own result odds, else the best winner odds.
     Return: -1 when wrong, odds - 1 when right and priced, NULL when right but unpriced.
     """
-    res = latest_results(results)
-    prog = latest_programs(programs)
-    races = prog.groupBy("race_id").agg(F.max("track").alias("city"), F.max("race_no").alias("race_no"))
+    field = entrants(latest_results(results), latest_programs(programs))
     picks = top_picks(predictions, models)
     unknown = F.lit(text.UNKNOWN_TRACK)
     core = (
-        picks.join(winners(res, prog), "race_id")
+        picks.join(winners(field), "race_id")
         .join(prediction_results.select("prediction_id", "official_odds"), "prediction_id", "left")
         .join(
-            res.select("race_id", "horse_id", F.col("result_odds").alias("_own_odds")),
-            ["race_id", "horse_id"], "left",
-        )
-        .join(
-            prog.select("race_id", "horse_id", "horse_name", "race_class", "surface", "distance"),
+            field.select(
+                "race_id", "horse_id", "horse_name", "race_class", "surface", "distance",
+                F.col("result_odds").alias("_own_odds"),
+            ),
             ["race_id", "horse_id"], "left",
         )
-        .join(races, "race_id", "left")
     )
     hit = F.array_contains("winner_ids", F.col("horse_id"))
     odds = F.when(hit, F.coalesce("official_odds", "_own_odds", "winner_decimal_odds"))

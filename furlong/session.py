@@ -90,8 +90,10 @@ def written(spark: SparkSession, name: str, build) -> DataFrame:
     Queries that start from the same derived table share it instead of recomputing it, and a
     lost executor costs a file read, not the lineage.
     """
+    from furlong.sinks.tables import exists
+
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}"
-    if path not in _WRITTEN:
+    if path not in _WRITTEN or not exists(spark, f"{path}/_SUCCESS"):
         df = build()
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         _SCHEMAS[path] = df.schema
