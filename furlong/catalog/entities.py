@@ -65,8 +65,6 @@ def link_backfill_conflicts(spark, d):
     entries = c.select(
         F.col("id").alias("horse_id"), F.when(digit == 0, "0").when(digit == 1, tag("T", "id - 1")).otherwise(tag("T")).alias("registry_id")
     ).unionByName(c.filter(digit == 2).select(F.col("id").alias("horse_id"), tag("X").alias("registry_id")))
-    # id 0 is no id
-    entries = entries.withColumn("horse_id", F.col("horse_id"))
     links = (
         c.filter(digit == 3).select(F.col("id").alias("horse_id"), tag("T").alias("registry_id"))
         .unionByName(c.filter(digit == 4).select(F.col("id").alias("horse_id"), tag("Q").alias("registry_id")))
@@ -175,9 +173,6 @@ def comparison_summary(spark, d):
     return coverage.comparison_summary(coverage.comparisons(o.drop("o_orderkey"), preds))
 
 
-NAMES = "WITH n AS (SELECT DISTINCT upper(regexp_replace(lower(p_name), '[^a-z ]', '', 'g')) AS name FROM part), "
-
-
 @query(
     "exact_dictionary_match",
     """WITH n AS (SELECT DISTINCT upper(w) AS name FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) BETWEEN 8 AND 40),

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furlong.catalog import base
-from furlong.catalog.history import r6
 from furlong.catalog.registry import query
 from furlong.functions import bands, dates, jsonx, numbers, text
-from furlong.operators import latest, quality, sets
+from furlong.operators import quality, sets
 from furlong.plans import features
 from furlong.session import load
 

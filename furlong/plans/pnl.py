@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.operators import latest, sets, skew, windows
+from furlong.operators import sets, skew, windows
 from furlong.operators.filters import stake_value
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furlong.functions import bands, dates, jsonx, text
-from furlong.operators import latest
 from furlong.plans.diagnostics import by_dimension
 
 
