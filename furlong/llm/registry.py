@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import idfile, packing, sharding
+from furlong.llm import htmltext, idfile, langid, packing, sharding
 from furlong.llm.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,6 @@ def _ready(build: Query) -> Query:
     return run
 
 
-MODULES = [packing, sharding, idfile]
+MODULES = [packing, langid, sharding, idfile, htmltext]
 QUERIES = {name: _ready(build) for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}

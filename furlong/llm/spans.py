@@ -121,17 +121,20 @@ class Index:
         self.keys = np.zeros(1 << bits, np.uint64)
         self.numbers = np.full(1 << bits, -1, np.int64)
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(_BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, -1 where it has none."""
-        mask = np.uint64((1 << self.bits) - 1)
+        mask = (1 << self.bits) - 1
         out = np.full(len(keys), -1, np.int64)
-        left, slot = np.arange(len(keys)), (keys & mask).astype(np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):
             number = self.numbers[slot]
             same = self.keys[slot] == keys[left]
             out[left[same]] = number[same]
             more = ~same & (number >= 0)
-            left, slot = left[more], (slot[more] + 1) & int(mask)
+            left, slot = left[more], (slot[more] + 1) & mask
         return out
 
     def add(self, keys: np.ndarray) -> None:
@@ -142,7 +145,7 @@ class Index:
             used = self.numbers >= 0
             keys, numbers = np.concatenate([self.keys[used], keys]), np.concatenate([self.numbers[used], numbers])
             self._room(max(self.bits, (self.count * 6).bit_length()))
-        slot = (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        slot = self._slot(keys)
         while len(keys):
             free = self.numbers[slot] < 0
             taken, at = np.unique(slot[free], return_index=True)
