@@ -19,6 +19,8 @@ from furlong.llm.spans import Index, column_bytes, hash_spans, row_starts
 
 #: Ids kept in the table of a worker; beyond, the table starts again.
 TABLE_IDS = 8_000_000
+#: Bytes of text cut into pieces at a time.
+STEP = 1 << 21
 
 _LETTER, _DIGIT, _OTHER, _SPACE = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -184,6 +186,12 @@ def encoder(path: str) -> Encoder:
 
 def encode_column(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text followed by end_id, end to end, and where each row starts (n + 1)."""
-    ids, starts = encoder(path).encode(*column_bytes(column))
-    out = np.insert(ids, starts[1:], np.uint32(end_id))
-    return out, starts + np.arange(len(starts))
+    buf, offsets = column_bytes(column)
+    parts, counts, i = [], [np.zeros(1, np.int64)], 0
+    while i < len(offsets) - 1:  # rows of STEP bytes together, or one longer row
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP, side="right")) - 1)
+        ids, starts = encoder(path).encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append(np.insert(ids, starts[1:], np.uint32(end_id)))
+        counts.append(np.diff(starts) + 1)
+        i = j
+    return np.concatenate(parts or [np.zeros(0, np.uint32)]), np.cumsum(np.concatenate(counts))
