@@ -31,6 +31,8 @@ from furlong.llm.storage import new_path
 BLOCK_BYTES, PART_BYTES = 12 << 20, 32 << 20
 #: A block ends after a multiple of so many rows of its task.
 STEP_ROWS = 256
+#: Stands for a block in the row of a part's own numbers.
+TALLY = -1
 ROW = "block long, part int, check long, keys binary, extra binary"
 
 
@@ -47,7 +49,7 @@ class Block:
         return zlib.crc32(offsets.tobytes(), zlib.crc32(buf[:: max(1, len(buf) // 4096)].tobytes()))
 
 
-def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordBatch | pa.Table]]) -> DataFrame:
+def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordBatch | pa.Table]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Run `work` on every block of rows. The first column is the text; it alone, not the other
     columns or the batches Spark makes, decides where blocks end."""
     spark = df.sparkSession
@@ -69,7 +71,7 @@ def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordB
                 low, seen = low + piece.num_rows, seen + piece.num_rows
                 held.append(piece)
                 size += pc.sum(pc.binary_length(piece.column(0))).as_py() or 0
-                if size >= BLOCK_BYTES and seen % STEP_ROWS == 0:
+                if size >= block_bytes and seen % STEP_ROWS == 0:
                     yield from flush()
                     number, held, size = number + 1, [], 0
         if held:
@@ -88,11 +90,21 @@ def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def thin(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes, all second bytes and so on: the high bytes are
+    mostly zero and vanish in the compression of a shuffle."""
+    return np.diff(keys, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def thick(raw: pa.Buffer) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def questions(block: Block, check: int, keys: np.ndarray, parts: int, extra: np.ndarray | None = None) -> pa.RecordBatch:
     """The rows for sorted distinct keys; extra: one fixed-width record for each key."""
     bounds = part_bounds(keys, parts)
     some = np.flatnonzero(np.diff(bounds))
-    raw = [keys[bounds[p] : bounds[p + 1]].astype("<u8").tobytes() for p in some]
+    raw = [thin(keys[bounds[p] : bounds[p + 1]]) for p in some]
     more = [extra[bounds[p] : bounds[p + 1]].tobytes() if extra is not None else b"" for p in some]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(some), block.number)), pa.array(some, pa.int32()), pa.array(np.full(len(some), check, np.int64)), pa.array(raw, pa.binary()), pa.array(more, pa.binary())],
@@ -104,28 +116,41 @@ def answer(asked: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray
     """Answer every part and store the answers; returns their path.
 
     work(keys, extra) gets the keys of all blocks end to end and their records of dtype `extra`,
-    and returns one record for each."""
+    and returns one record for each; or a pair, with a list of numbers that tallies() adds up."""
 
     def part(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["keys"]]
+        keys = [thick(x.as_buffer()) for x in rows["keys"]]
         more = [np.frombuffer(x.as_buffer(), extra) for x in rows["extra"]] if extra else []
         got = work(np.concatenate(keys), np.concatenate(more) if extra else None)
+        got, tally = got if isinstance(got, tuple) else (got, [])
         ends = np.cumsum([len(k) for k in keys])
         out = [got[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]
-        return pa.table({"block": rows["block"], "part": rows["part"], "check": rows["check"], "values": pa.array(out, pa.binary())})
+        blocks, parts, checks = (rows[c].to_pylist() for c in ("block", "part", "check"))
+        return pa.table(
+            {
+                "block": pa.array([*blocks, TALLY], pa.int64()), "part": pa.array([*parts, parts[0]], pa.int32()), "check": pa.array([*checks, 0], pa.int64()),
+                "values": pa.array([*out, b""], pa.binary()), "tally": pa.array([*([None] * len(out)), [float(x) for x in tally]], pa.list_(pa.float64())),
+            }
+        )
 
     path = new_path(asked.sparkSession, "answers")
-    replies = asked.groupBy("part").applyInArrow(part, "block long, part int, check long, values binary")
+    replies = asked.groupBy("part").applyInArrow(part, "block long, part int, check long, values binary, tally array<double>")
     # One directory for each block; rows of one block come together first, so it has one file.
     replies.withColumn("of", F.col("block")).repartition("of").write.partitionBy("of").option("compression", "zstd").parquet(path)
     return path
 
 
+def tallies(spark: SparkSession, path: str, n: int) -> list[float]:
+    """The n numbers of all parts, added up."""
+    rows = spark.read.parquet(path).where(F.col("of") == TALLY)
+    return [x or 0.0 for x in rows.agg(*[F.sum(F.col("tally")[k]).alias(f"t{k}") for k in range(n)]).first()]
+
+
 def answers(path: str, block: Block, check: int, dtype) -> np.ndarray:
     """The records for a block's sorted distinct keys, in their order."""
     fs, base = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
     folder = pyarrow.fs.FileSelector(f"{base}/of={block.number}", allow_not_found=True)
-    tables = [pq.ParquetFile(f.path, filesystem=fs).read() for f in fs.get_file_info(folder) if f.path.endswith(".parquet")]
+    tables = [pq.ParquetFile(f.path, filesystem=fs).read(columns=["part", "check", "values"]) for f in fs.get_file_info(folder) if f.path.endswith(".parquet")]
     if not tables:
         return np.zeros(0, dtype)
     rows = pa.concat_tables(tables).sort_by("part")

@@ -97,12 +97,13 @@ def _told(path: str, block: Block, names: np.ndarray, check: int) -> np.ndarray:
     return found[place].astype(bool)
 
 
-def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, characters: bool = False) -> DataFrame:
     """Add `kept` (binary: the bytes that stay) and `removed` (array of start and end of each
     maximal removed run, in bytes of the text) to every row.
 
     A byte goes if a string of `length` bytes that covers it also starts at any other place, in
     the same row or another; rows end strings. Null is empty; equal rows are each other's repeats.
+    characters: characters of which any byte goes are removed whole, so `kept` is UTF-8.
     df is scanned three times and must be read from files."""
     columns = [text, *[c for c in df.columns if c != text]]
     df = df.select(columns)
@@ -138,6 +139,9 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> Dat
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
+        if characters and len(gone):
+            lead = (s.buf & 0xC0) != 0x80
+            gone = np.logical_or.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
         edge = np.zeros(len(s.buf) + 1, bool)
         edge[s.offsets] = True
         starts, ends = gone.copy(), gone.copy()
