@@ -193,8 +193,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
     """Pieces (key, piece, length, ...) with sequence_id and their offset in that sequence.
 
     Pieces of length `capacity` stay alone. Repeated keys are distinct pieces. Offsets follow
-    the order of the items and are gapless. `pieces` is read several times: give a stored table."""
-    numbered = stored(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    the order of the items and are gapless. Columns named like the new ones are replaced. `pieces` is read several times: give a stored table."""
+    numbered = stored(pieces.drop("item", "sequence_id", "offset").withColumn("item", F.monotonically_increasing_id()), "pieces")
     alone = F.col("length") >= capacity
     bins = pack_items(numbered.where(~alone).select("item", "length"), capacity)
     whole = numbered.where(alone).withColumns({"sequence_id": F.col("item") * 2 + 1, "offset": F.lit(0).cast("long")})

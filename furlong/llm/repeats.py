@@ -104,8 +104,8 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, charac
     A byte goes if a string of `length` bytes that covers it also starts at any other place, in
     the same row or another; rows end strings. Null is empty; equal rows are each other's repeats.
     characters: characters of which any byte goes are removed whole, so `kept` is UTF-8.
-    df is scanned three times and must be read from files."""
-    columns = [text, *[c for c in df.columns if c != text]]
+    Columns named like the new ones are replaced. df is scanned three times and must be read from files."""
+    columns = [text, *[c for c in df.columns if c not in (text, "kept", "removed")]]
     df = df.select(columns)
     texts = df.select(text)
     parts = exchange.parts_of(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
