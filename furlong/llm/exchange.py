@@ -80,8 +80,8 @@ def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordB
     return df.mapInArrow(task, schema)
 
 
-def parts_of(total_bytes: int) -> int:
-    return max(12, -(-int(total_bytes) // PART_BYTES))
+def parts_of(total_bytes: int, part_bytes: int = PART_BYTES) -> int:
+    return max(12, -(-int(total_bytes) // part_bytes))
 
 
 def part_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -142,7 +142,7 @@ def answer(asked: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray
 
 def tallies(spark: SparkSession, path: str, n: int) -> list[float]:
     """The n numbers of all parts, added up."""
-    rows = spark.read.parquet(path).where(F.col("of") == TALLY)
+    rows = spark.read.schema("tally array<double>, of long").parquet(path).where(F.col("of") == TALLY)
     return [x or 0.0 for x in rows.agg(*[F.sum(F.col("tally")[k]).alias(f"t{k}") for k in range(n)]).first()]
 
 

@@ -217,7 +217,7 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
         def seat_parent(keys: np.ndarray, told: np.ndarray, known=known, sweep=sweep):
             unique, place, total = _sum_by(keys, told.view("<u4").reshape(-1, 2))
             customers = total[:, 0]
-            d = discount_of((customers == 1).sum(), (customers == 2).sum())
+            d = known.discount
             tables = seat(customers, np.full(len(unique), (STRENGTH + d * known.kinds) / (known.kinds + 1)), d, unique, sweep)
             begin = total[unique == _BEGIN, 1].sum()
             out = np.column_stack([customers, tables, total[:, 1]]).astype("<i8")[place]
