@@ -130,7 +130,8 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 @stored
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Three runs per race: an old one, the valid one, and one after the start."""
+    """Three runs per race: an old one, the valid one, and one after the start. Some entrants
+    have no score of the first model."""
     rows = windows.normalise_in_group(
         program(spark, d).withColumn("edge", F.col("discount") + 0.01),
         ["race_id"], {"price": "p1", "weight": "p2", "edge": "p3"},
@@ -144,7 +145,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         "race_id", F.col("entrant").alias("horse_id"),
         F.timestamp_micros(F.unix_micros("race_start_at") + hours.cast("bigint") * 3_600_000_000).alias("prediction_time"),
         "race_start_at", F.lit("v1").alias("model_version"),
-        F.round(F.when(valid, F.col("p1")).otherwise(F.col("p2")), 9).alias("logistic_probability"),
+        F.when(F.col("weight") != 7, F.round(F.when(valid, F.col("p1")).otherwise(F.col("p2")), 9)).alias("logistic_probability"),
         F.round(F.when(valid, F.col("p2")).otherwise(F.col("p1")), 9).alias("catboost_probability"),
         F.round("p3", 9).alias("xgboost_probability"),
         F.round((F.col("p1") + F.col("p2") + F.col("p3")) / 3.0, 9).alias("ensemble_probability"),
@@ -218,7 +219,7 @@ res AS (
 runs AS (
   SELECT r.run || ':' || race_id || ':' || entrant AS prediction_id, r.run AS run, race_id, entrant AS horse_id,
     race_start_at + CASE r.run WHEN 1 THEN INTERVAL (-48) HOUR WHEN 2 THEN INTERVAL (-24) HOUR ELSE INTERVAL 1 HOUR END AS prediction_time,
-    race_start_at, round(CASE WHEN r.run = 2 THEN p1 ELSE p2 END, 9) AS logistic, round(CASE WHEN r.run = 2 THEN p2 ELSE p1 END, 9) AS catboost,
+    race_start_at, CASE WHEN weight <> 7 THEN round(CASE WHEN r.run = 2 THEN p1 ELSE p2 END, 9) END AS logistic, round(CASE WHEN r.run = 2 THEN p2 ELSE p1 END, 9) AS catboost,
     round(p3, 9) AS xgboost, round((p1 + p2 + p3) / 3.0, 9) AS ensemble, discount * 100 AS agf_percent,
     CASE WHEN weight >= 5 THEN CAST(agf_no AS INTEGER) END AS agf_rank, odds, weight, jockey, distance,
     snapshot_id, source_request_id

@@ -175,26 +175,26 @@ def comparison_summary(spark, d):
 
 @query(
     "exact_dictionary_match",
-    """WITH n AS (SELECT DISTINCT upper(w) AS name FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) BETWEEN 8 AND 40),
+    """WITH n AS (SELECT DISTINCT upper(w) AS name FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ')) AS w FROM benchmark) WHERE length(w) >= 4),
 t AS (SELECT doc_id, upper(trim(regexp_replace(regexp_replace(translate(text, 'ÇĞİÖŞÜçğıöşü', 'CGIOSUcgiosu'), '[^A-Za-z ]', '', 'g'), '\\s+', ' ', 'g'))) AS body FROM documents),
 m AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS rn FROM t JOIN n ON contains(t.body, n.name)) SELECT doc_id, name FROM m WHERE rn = 1""",
 )
 def exact_dictionary_match(spark, d):
     words = load(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ")).alias("w"))
-    names = words.filter("length(w) BETWEEN 8 AND 40").select(F.upper("w").alias("name")).distinct()
+    names = words.select(F.upper("w").alias("name")).distinct()
     docs = load(spark, d, "documents").select("doc_id", text.clean_name("text").alias("body"))
     return resolve.dictionary_match(docs, names, "doc_id", "body", "name").select("doc_id", "name")
 
 
 @query(
     "event_to_race_match",
-    """WITH e AS (SELECT event_id, CAST(user_id % 20 AS INTEGER) AS grp, CAST(event_id % 9 AS INTEGER) AS no FROM events), r AS (SELECT o_orderkey AS race, CAST(o_custkey % 25 AS INTEGER) AS grp, CAST(o_orderkey % 7 AS INTEGER) AS rn FROM orders WHERE o_orderkey < 300),
-j AS (SELECT event_id, race, no = rn AS same, row_number() OVER (PARTITION BY event_id ORDER BY (no = rn) DESC, race) AS k FROM e JOIN r ON e.grp = r.grp)
-SELECT e.event_id, j.race AS matched_race, j.same AS same_number FROM e LEFT JOIN j ON e.event_id = j.event_id AND k = 1""".replace("j.same AS same_number", "CAST(j.same AS INTEGER) AS same_number").replace(" WHERE o_orderkey < 300", " WHERE o_totalprice > 480000"),
+    """WITH e AS (SELECT event_id, CAST(user_id % 20 AS INTEGER) AS grp, CAST(event_id % 9 AS INTEGER) AS no FROM events), n AS (SELECT CAST(o_custkey % 25 AS INTEGER) AS g, CAST(o_orderkey % 7 AS INTEGER) AS k, min(o_orderkey) AS race FROM orders GROUP BY ALL)
+SELECT e.event_id, coalesce(a.race, (SELECT min(n.race) FROM n WHERE n.g = e.grp)) AS matched_race,
+  CASE WHEN e.grp IN (SELECT g FROM n) THEN CAST(a.race IS NOT NULL AS INTEGER) END AS same_number FROM e LEFT JOIN n a ON a.g = e.grp AND a.k = e.no""",
 )
 def event_to_race_match(spark, d):
     events = load(spark, d, "events").select("event_id", (F.col("user_id") % 20).cast("int").alias("grp"), (F.col("event_id") % 9).cast("int").alias("no"))
-    races = load(spark, d, "orders").filter("o_totalprice > 480000").select(
+    races = load(spark, d, "orders").select(
         F.col("o_orderkey").alias("race"), (F.col("o_custkey") % 25).cast("int").alias("grp"), (F.col("o_orderkey") % 7).cast("int").alias("rn")
     )
     out = resolve.event_race_match(events, races, "event_id", ["grp"], "no", "rn", "race")

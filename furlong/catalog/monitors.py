@@ -106,7 +106,7 @@ def feature_drift_status(spark, d):
 
 def _race_events(spark, d):
     """Predictions by day for drift: one model per score column."""
-    rows = base.scores_long(spark, d).filter("race_date >= DATE'1995-01-01'")
+    rows = base.scores_long(spark, d)
     return rows.withColumns(
         {"winner": F.col("is_win"), "race_class": F.when(F.col("field_size") > 2, "big").otherwise("small"),
          "result_status": F.when(F.col("horse_id") == 4, "scratched").otherwise("finished")}

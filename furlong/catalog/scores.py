@@ -338,7 +338,7 @@ def permutation_importance(spark, d):
     rows = ml.prepare(_training(spark, d), NUMERIC, CATEGORICAL)
     fold = ml.year_fold(rows, "race_date", 2000, "test")
     model = ml.estimators(NUMERIC, CATEGORICAL, trees=3)["logistic"].fit(ml.class_weights(fold.train))
-    out = ml.permutation_importance(model, fold.evaluate, [*NUMERIC, *CATEGORICAL], rows=1000, repeats=2)
+    out = ml.permutation_importance(model, fold.evaluate, [*NUMERIC, *CATEGORICAL], repeats=2)
     return ml.importance_rank(out.withColumn("model", F.lit("logistic")), ["model"])
 
 

@@ -132,9 +132,9 @@ def entity_keys(spark, d):
     )
 
 
-@query("scan_project_types", "SELECT o_orderkey AS race_id, CAST(o_orderdate AS DATE) AS race_date, o_totalprice AS prize FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
+@query("scan_project_types", "SELECT o_orderkey AS race_id, CAST(o_orderdate AS DATE) AS race_date, o_totalprice AS prize FROM orders")
 def scan_project_types(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+    rows = spark.read.parquet(f"{d}/orders.parquet")
     return rows.select(F.col("o_orderkey").alias("race_id"), F.col("o_orderdate").cast("date").alias("race_date"), F.col("o_totalprice").alias("prize"))
 
 

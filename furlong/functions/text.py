@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,11 +92,9 @@ def fold(value: Column | str) -> Column:
 
 
 def clean_track(value: Column | str) -> Column:
-    """Drop the race-day count and any trailing parenthesis, then resolve course aliases."""
+    """Drop what stands in parentheses at the end, then resolve course aliases."""
     text = squeeze(F.coalesce(_col(value), F.lit(UNKNOWN_TRACK)))
-    text = F.regexp_replace(text, r"(?i)\s*\(\s*\d+\.?\s*Y\.?G\.?\s*\)\s*$", "")
-    text = F.regexp_replace(text, r"(?iu)\s*\([^)]*Yar[ıi]ş\s+G[üu]n[üu][^)]*\)\s*$", "")
-    text = F.trim(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", ""))
+    text = F.trim(F.regexp_replace(text, r"(?:\s*\([^)]*\))+\s*$", ""))
 
     def resolved(pair: Column) -> Column:
         name = F.when(pair["text"] == "", F.lit(UNKNOWN_TRACK)).otherwise(pair["text"])
@@ -193,28 +193,43 @@ def surface_prefix(value: Column | str) -> Column:
     ).otherwise(F.concat(F.substring(text, 1, 1), F.lit(":")))
 
 
+# Words in a part of a race class that say nothing about the class.
+CLASS_NOISE = ["kg", "e.i.d", "e.d", "çim", "cim", "kum", "sentetik", "tapeta"]
+# Surface code -> words that name it, the first code that fits counts.
+SURFACE_WORDS = {
+    "k:": ["kum", "dirt", "k:"],
+    "ç:": ["çim", "cim", "turf", "ç:", "c:"],
+    "s:": ["sentetik", "synthetic", "s:", "tapeta"],
+}
+
+
+def holds_any(value: Column, words: list[str]) -> Column:
+    return reduce(or_, [value.contains(w) for w in words])
+
+
+def _class_without_noise(value: Column) -> Column:
+    said = F.transform(F.split(value, ","), F.trim)
+    return F.array_join(F.filter(said, lambda part: ~holds_any(part, CLASS_NOISE) & ~part.rlike("^[0-9]+$")), ", ")
+
+
+def _surface_code(value: Column) -> Column:
+    return F.coalesce(*[F.when(holds_any(value, words), code) for code, words in SURFACE_WORDS.items()], value)
+
+
+_CATEGORY_RULES: dict[str, Callable[[Column], Column]] = {
+    "track": lambda value: F.regexp_replace(value, r"\s*\([^)]*\)", ""),
+    "race_class": _class_without_noise,
+    "surface": _surface_code,
+}
+
+
 def normalise_category(value: Column | str, feature: str | None = None) -> Column:
-    """Category text for drift comparison, with cleaning that depends on the feature."""
-    raw = _col(value)
-    text = F.lower(F.translate(F.trim(raw), "İIŞÇĞÖÜ", "iışçğöü"))
-    text = F.translate(text, "ı", "i")
-    if feature == "track":
-        text = F.regexp_replace(text, r"\s*\([^)]*\)", "")
-    elif feature == "race_class":
-        parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
-        kept = F.filter(
-            parts, lambda p: ~p.rlike(r"kg|e\.i\.d|e\.d|çim|cim|kum|sentetik|tapeta|^\d+$")
-        )
-        text = F.array_join(kept, ", ")
-    elif feature == "surface":
-        text = (
-            F.when(text.rlike("kum|dirt|k:"), "k:")
-            .when(text.rlike("çim|cim|turf|ç:|c:"), "ç:")
-            .when(text.rlike("sentetik|synthetic|s:|tapeta"), "s:")
-            .otherwise(text)
-        )
-    tidy = squeeze(F.regexp_replace(text, r"\s*([/,.-])\s*", "$1"))
-    return F.when(raw.isNull(), "__MISSING__").otherwise(tidy)
+    """Category text for drift comparison: lower case in Turkish letters, the feature's own rule if
+    it has one, no blanks around separators. A missing value is a category."""
+    given = _col(value)
+    lowered = F.lower(F.translate(F.trim(given), "İIıŞÇĞÖÜ", "iiişçğöü"))
+    ruled = _CATEGORY_RULES[feature](lowered) if feature in _CATEGORY_RULES else lowered
+    return F.coalesce(squeeze(F.regexp_replace(ruled, r"\s*([/,.-])\s*", "$1")), F.lit("__MISSING__"))
 
 
 def unescape_first_line(value: Column | str) -> Column:

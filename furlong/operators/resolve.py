@@ -297,15 +297,13 @@ def dictionary_match(
     """
     known = names.filter(F.length(name) >= min_length).select(name).distinct()
     lengths = known.agg(F.array_sort(F.collect_set(F.length(name)))).scalar()
-    longest = 64  # longest name that can be found; names beyond are rejected below
-    too_long = known.filter(F.length(name) > longest).head(1)
-    if too_long:
-        raise ValueError(f"names longer than {longest} letters are not supported")
+    longest = known.agg(F.max(F.length(name)).cast("string")).scalar()
+    pattern = F.concat(F.lit("(?s)(?=(.{%d," % min_length), longest, F.lit("}))"))
     heads = known.select(F.substring(name, 1, min_length).alias("_head")).distinct()
     spans = texts.select(
         text_id,
         F.explode(
-            F.regexp_extract_all(F.col(clean_text), F.lit("(?s)(?=(.{%d,%d}))" % (min_length, longest)), 1)
+            F.regexp_extract_all(F.col(clean_text), pattern, 1)
         ).alias("_span"),
     )
     starts = spans.withColumn("_head", F.substring("_span", 1, min_length)).join(heads, "_head", "left_semi")
@@ -321,15 +319,13 @@ def event_race_match(
 ) -> DataFrame:
     """Race of an event: same name, date and track; the same number first, else the first
     race. Unmatched events keep a NULL race."""
-    candidates = events.select(event_id, *on, number).join(
-        races.select(*on, F.col(race_number).alias("_rn"), F.col(race).alias("matched_race")), on
+    # Reduced to the first race of each key and of each key and number, no event meets every race.
+    first = races.groupBy(*on).agg(F.min(race).alias("_any"))
+    numbered = races.groupBy(*on, F.col(race_number).alias(number)).agg(F.min(race).alias("_same"))
+    found = events.join(numbered, [*on, number], "left").join(first, on, "left")
+    return found.select(
+        *events.columns, F.coalesce("_same", "_any").alias("matched_race"), F.when(F.col("_any").isNotNull(), F.col("_same").isNotNull()).alias("same_number")
     )
-    same = F.coalesce(F.col(number) == F.col("_rn"), F.lit(False))
-    best = latest.latest_by(
-        candidates.withColumn("same_number", same), [event_id],
-        [F.col("same_number").desc(), F.col("matched_race").asc()],
-    )
-    return events.join(best.select(event_id, "matched_race", "same_number"), event_id, "left")
 
 
 def replace_name_ids(snapshots: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:

@@ -35,7 +35,8 @@ def top_picks(predictions: DataFrame, models: dict[str, str]) -> DataFrame:
     best = [
         F.min_by(
             F.struct(*payload, F.col(column).alias("probability")),
-            F.struct((-F.col(column)).alias("p"), F.col("horse_id").alias("h")),
+            # Without a score there is no order key, so an unscored horse is never the best.
+            F.when(F.col(column).isNotNull(), F.struct((-F.col(column)).alias("p"), F.col("horse_id").alias("h"))),
         ).alias(model)
         for model, column in models.items()
     ]

@@ -41,7 +41,7 @@ def market_accuracy(
     per_race = df.groupBy(*keys).agg(
         F.bool_and(F.col(odds).isNotNull()).alias("_priced"),
         F.min_by(F.col(label), F.struct(odds, tie)).alias("_favourite"),
-        F.min_by(F.struct(F.col(label).alias("l"), F.col(odds).alias("o")), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))).alias("_top"),
+        F.min_by(F.struct(F.col(label).alias("l"), F.col(odds).alias("o")), F.when(F.col(score).isNotNull(), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")))).alias("_top"),
         F.sum(F.when(F.col(label) == 1, F.col(score))).alias("_winner_p"),
         F.count(F.when(F.col(label) == 1, 1)).alias("_winners"),
     )

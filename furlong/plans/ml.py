@@ -202,23 +202,25 @@ def archive(
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: list[str], label: str = "is_win", rows: int = 3000, repeats: int = 3
+    model: PipelineModel, df: DataFrame, features: list[str], label: str = "is_win", repeats: int = 3, buckets: int = 256
 ) -> DataFrame:
-    """Rise of the log-loss when one column is shuffled, over a sample of rows.
+    """Rise of the log-loss when one column is shuffled, over all rows.
 
-    The shuffle is a join on row places under another order. All features and repeats are
-    rows of one frame, so the model is applied once.
+    Rows are dealt into buckets by a hash; the shuffle is a join on row places of a bucket under
+    another order, so no task holds all rows. All features and repeats are rows of one frame, so
+    the model is applied once.
     """
-    sample = df.select(*features, label, F.monotonically_increasing_id().alias("_id")).orderBy(F.xxhash64("_id")).limit(rows)
+    sample = df.select(*features, label, F.monotonically_increasing_id().alias("_id"))
+    sample = sample.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(buckets)))
     from furlong.session import checkpoint
 
-    sample = checkpoint(skew.ranked(sample, [], ["_id"], "_n"))
+    sample = checkpoint(skew.ranked(sample, ["_b"], ["_id"], "_n"))
     base = sample.withColumns({"_feature": F.lit(None).cast("string"), "_repeat": F.lit(0)})
     frames = base
     for r in range(1, repeats + 1):
-        moved = skew.ranked(sample.withColumn("_h", F.xxhash64("_id", F.lit(r)).cast("double")), [], ["_h", "_id"], "_n2")
-        other = moved.select(F.col("_n2").alias("_n"), *[F.col(f).alias(f"_o_{f}") for f in features])
-        joined = sample.join(other, "_n")
+        moved = skew.ranked(sample.withColumn("_h", F.xxhash64("_id", F.lit(r)).cast("double")), ["_b"], ["_h", "_id"], "_n2")
+        other = moved.select("_b", F.col("_n2").alias("_n"), *[F.col(f).alias(f"_o_{f}") for f in features])
+        joined = sample.join(other, ["_b", "_n"])
         for f in features:
             frames = frames.unionByName(
                 joined.withColumns({f: F.col(f"_o_{f}"), "_feature": F.lit(f), "_repeat": F.lit(r)}).select(*base.columns)

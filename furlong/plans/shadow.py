@@ -94,15 +94,11 @@ def summary(diag: DataFrame) -> DataFrame:
     return overall.withColumn("_k", F.lit(1)).join(models, "_k").join(tracks, "_k").drop("_k")
 
 
-def null_rates(rows: DataFrame, json_column: str, top: int = 25) -> DataFrame:
-    """Share of NULL per JSON key, worst first. Keys are a fixed feature list, so small."""
+def null_rates(rows: DataFrame, json_column: str, top: int | None = None) -> DataFrame:
+    """Share of NULL per JSON key; with `top` only the worst so many, worst first."""
     long = rows.select(F.explode(jsonx.decode_map(json_column)).alias("feature", "value"))
-    return (
-        long.groupBy("feature")
-        .agg((100.0 * F.avg(F.col("value").isNull().cast("double"))).alias("null_rate"))
-        .orderBy(F.col("null_rate").desc(), "feature")
-        .limit(top)
-    )
+    rates = long.groupBy("feature").agg((100.0 * F.avg(F.col("value").isNull().cast("double"))).alias("null_rate"))
+    return rates if top is None else rates.orderBy(F.col("null_rate").desc(), "feature").limit(top)
 
 
 def health(programs: DataFrame, predictions: DataFrame, results: DataFrame, diag: DataFrame, low: str, high: str) -> DataFrame:

@@ -335,3 +335,31 @@ def test_filters_reject_bad_values():
         filters.diagnostics_filter(date_from="2026-02-01", date_to="2026-01-01")
     with pytest.raises(ValueError):
         filters.in_country("track", "XX")
+
+
+def test_unscored_horses_are_never_picked(spark):
+    rows = [("p1", "r", 1, 0.6), ("p2", "r", 2, 0.3), ("p3", "r", 3, None), ("p4", "none", 4, None)]
+    t = dt.datetime(2026, 1, 1, 12)
+    preds = spark.createDataFrame(
+        [(i, race, horse, t, t + dt.timedelta(hours=1), "v", 2.0, p) for i, race, horse, p in rows],
+        "prediction_id string, race_id string, horse_id long, prediction_time timestamp, race_start_at timestamp, model_version string, odds double, p double",
+    )
+    out = evaluated.top_picks(preds, {"m": "p"}).collect()
+    assert [(r.race_id, r.horse_id, r.probability) for r in out] == [("r", 1, 0.6)]
+    scored = spark.createDataFrame([("r", 1, 0.6, 0, 2.0), ("r", 2, 0.3, 1, 9.0), ("r", 3, None, 0, 50.0)], "race_id string, horse_id long, p double, y int, odds double")
+    got = metrics.market_accuracy(scored.withColumn("k", F.lit(1)), ["k"], "p", "y", "odds").first()
+    assert got.favorite_accuracy == 0.0 and got.longshot_accuracy is None
+
+
+def test_events_find_the_first_race_of_their_key(spark):
+    events = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, "a", None)], "e long, g string, no int")
+    races = spark.createDataFrame([(10, "a", 4), (11, "a", 5), (12, "a", 5)], "race long, g string, rn int")
+    out = {r.e: (r.matched_race, r.same_number) for r in resolve.event_race_match(events, races, "e", ["g"], "no", "rn", "race").collect()}
+    assert out == {1: (11, True), 2: (10, False), 3: (None, None), 4: (10, False)}
+
+
+def test_track_and_category_texts(spark):
+    df = spark.createDataFrame([("Ankara (3. Y.G.)",), ("Veliefendi (x) (3. Yarış Günü)",), ("(x)",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.clean_track("t")).collect()] == ["Ankara", "İstanbul", "Bilinmiyor", "Bilinmiyor"]
+    df = spark.createDataFrame([("Maiden, 58 KG, 3", "race_class"), ("Kum: Sulu", "surface"), ("Iğdır  / X", None), (None, None)], "v string, f string")
+    assert [df.select(text.normalise_category("v", f)).collect()[i][0] for i, f in enumerate(["race_class", "surface", None, None])] == ["maiden", "k:", "iğdir/x", "__MISSING__"]
