@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from furlong.llm.storage import stored
 
 
+def _canonical(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Each node hands the least of its neighbourhood to its larger (or smaller) neighbours."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,7 +31,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Every step is a table in the shared folder, and only its size and a checksum reach the driver.
     The number of steps grows with the logarithm of the nodes."""
-    now = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
+    now = stored(_canonical(pairs), "stars")
     seen = None
     while True:
         now = stored(_star(_star(now, True), False), "stars")

@@ -11,7 +11,7 @@ band. Keys that no other set shares are found by a compact exchange and never be
 What shares a key is verified exactly on the full sets. Only components are wanted, so pairs inside
 one component are not looked at again: in rounds, every set with a key that is shared with another
 component is compared with one set of that key; what then still shares keys across components is
-compared pair by pair.
+compared in blocks, as matrices, so that only linked pairs become rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.llm import exchange
@@ -34,8 +34,12 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets up to this size are indexed with one-deletion neighbourhoods; larger ones get some spare
 #: segments instead, so that the least selective need not be probed.
 DELETION_SIZE, SPARE = 64, 1.12
+#: Text of a block in bytes.
+BLOCK_BYTES = 4 << 20
 #: Rounds of comparing with one set of a shared key.
-ROUNDS = 5
+ROUNDS = 2
+#: Sets of a block and columns of a matrix when what is left is compared.
+BLOCK_SETS, COLUMNS = 512, 8192
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -140,7 +144,7 @@ class _Sets:
         return out
 
 
-NODE = "row long, key long, size long, owner long, keys array<long>, probes array<boolean>, tokens binary"
+NODE = "row long, key long, size long, owner long, keys array<long>, tokens binary"
 
 
 def shared_keys(df: DataFrame, key: str, text: str, numerator: int, denominator: int) -> DataFrame:
@@ -159,7 +163,7 @@ def shared_keys(df: DataFrame, key: str, text: str, numerator: int, denominator:
         np.minimum.at(out, place, rows)
         return out[place]
 
-    owned = exchange.answer(exchange.scan(df, exchange.ROW, first), least, "i8")
+    owned = exchange.answer(exchange.scan(df, exchange.ROW, first, BLOCK_BYTES), least, "i8")
 
     def signed(block: Block, check: int):
         sets = _Sets(block)
@@ -183,26 +187,26 @@ def shared_keys(df: DataFrame, key: str, text: str, numerator: int, denominator:
         np.bitwise_or.at(all_flags, place, flag)
         return (((count > 1) | (all_flags & 1 > 0)) & (all_flags & 2 > 0)).astype(np.uint8)[place]
 
-    met = exchange.answer(exchange.scan(df, exchange.ROW, second), meet, "u1")
+    met = exchange.answer(exchange.scan(df, exchange.ROW, second, BLOCK_BYTES), meet, "u1")
 
     def third(block: Block) -> Iterator[pa.RecordBatch]:
         check = block.check(0)
-        sets, owners, mine, sizes, probe, (keys, place, _) = signed(block, check)
+        sets, owners, mine, sizes, _, (keys, place, _) = signed(block, check)
         shared = exchange.answers(met, block, check, np.uint8)[place].astype(bool)
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        out_keys, out_probes, tokens = ([None] * len(sets.sets) for _ in range(3))
+        out_keys, tokens = ([None] * len(sets.sets) for _ in range(2))
         flat = keys[place].astype(np.int64)
         for j, i in enumerate(mine):
             has = shared[at[j] : at[j + 1]]
             if has.any():
-                out_keys[i], out_probes[i] = flat[at[j] : at[j + 1]][has], probe[at[j] : at[j + 1]][has]
+                out_keys[i] = flat[at[j] : at[j + 1]][has]
                 tokens[i] = sets.sets[i].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sets.rows), block.rows.column(1).combine_chunks(), pa.array(sets.sizes), pa.array(owners), pa.array(out_keys, pa.list_(pa.int64())), pa.array(out_probes, pa.list_(pa.bool_())), pa.array(tokens, pa.binary())],
-            names=["row", "key", "size", "owner", "keys", "probes", "tokens"],
+            [pa.array(sets.rows), block.rows.column(1).combine_chunks(), pa.array(sets.sizes), pa.array(owners), pa.array(out_keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+            names=["row", "key", "size", "owner", "keys", "tokens"],
         )
 
-    return stored(exchange.scan(df, NODE, third), "sets")
+    return stored(exchange.scan(df, NODE, third, BLOCK_BYTES), "sets")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -222,41 +226,87 @@ def verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return met.mapInArrow(linked, "a long, b long")
 
 
+def _linked_across(group: pa.Table, numerator: int, denominator: int) -> pa.Table:
+    """Linked pairs of different components between the two sides of a group, by the product of
+    their incidence matrices over the tokens that more than one set has."""
+    side = group["side"].to_numpy()
+    rows, named = group["row"].to_numpy(), group["c"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["tokens"]]
+    size = np.array([len(x) for x in sets])
+    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)
+    number = np.full(len(tokens), -1)
+    number[common] = np.arange(len(common))
+    of = np.repeat(np.arange(len(sets)), size)
+    column = number[place]
+    of, column = of[column >= 0], column[column >= 0]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(common), COLUMNS):
+        here = (column >= low) & (column < low + COLUMNS)
+        matrix = np.zeros((len(sets), min(COLUMNS, len(common) - low)), np.float32)
+        matrix[of[here], column[here] - low] = 1
+        shared += matrix[left] @ matrix[right].T
+    union = size[left][:, None] + size[right][None, :] - shared
+    linked = (denominator * shared >= numerator * union) & (named[left][:, None] != named[right][None, :])
+    x, y = np.nonzero(linked)
+    return pa.table({"a": rows[left[x]], "b": rows[right[y]]})
+
+
+def compare_residue(residue: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Linked pairs (a, b) of different components among rows (row, size, c, family) of one family.
+
+    A family is dealt into blocks by size; two blocks meet in one task if their sizes allow a link,
+    and are compared there as matrices. A pair never becomes a row unless it is linked."""
+    order = Window.partitionBy("family").orderBy("size", "row")
+    dealt = residue.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_SETS))
+    dealt = stored(dealt, "residue")
+    spans = dealt.groupBy("family", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = spans.select("family", F.col("block").alias("block2"), F.col("low").alias("low2"))
+    meets = spans.join(other, "family").where((F.col("block") <= F.col("block2")) & (F.col("high") * denominator >= F.col("low2") * numerator)).select("family", "block", "block2")
+    meets = meets.select("family", "block", "block2", F.explode(F.when(F.col("block") < F.col("block2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
+    meets = meets.withColumn("at", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("block2")))
+    full = dealt.join(sets.select("row", "tokens"), "row").withColumnRenamed("block", "at")
+    met = full.join(meets, ["family", "at"]).select("family", "block", "block2", "side", "row", "c", "tokens")
+    return met.groupBy("family", "block", "block2").applyInArrow(lambda group: _linked_across(group, numerator, denominator), "a long, b long")
+
+
 def link_components(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(node, component) of the rows that are linked with any other."""
-    spark = sets.sparkSession
     some = sets.where("keys is not null")
-    rows = stored(some.select("row", "size", F.explode(F.arrays_zip("keys", "probes")).alias("x")).select("row", "size", F.col("x.keys").alias("k"), F.col("x.probes").alias("probe")), "keys")
-    none = spark.createDataFrame([], "a long, b long")
-    links, tried, labels = none, none, spark.createDataFrame([], "node long, component long")
-    least, most = F.least("size", "size2"), F.greatest("size", "size2")
-    fits = denominator * least >= numerator * most
-    for turn in range(ROUNDS + 1):
-        named = rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component")
-        per_key = named.groupBy("k").agg(
-            F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("c").alias("other"))).alias("hub")
-        )
-        open_keys = per_key.where("c1 <> c2")
-        if turn < ROUNDS:
-            met = named.join(open_keys.select("k", "hub.*"), "k").where(fits & (F.col("c") != F.col("other")))
-        else:
-            left = named.join(open_keys.select("k"), "k", "left_semi")
-            right = left.select("k", F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("c").alias("other"), F.col("probe").alias("probe2"))
-            met = left.join(right, "k").where(fits & (F.col("c") != F.col("other")) & (F.col("row") < F.col("row2")) & (F.col("probe") | F.col("probe2")))
-        a, b = F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")
-        pairs = met.select("row", *(["h"] if turn < ROUNDS else []), a, b).join(tried, ["a", "b"], "left_anti")
-        if turn < ROUNDS:
-            pairs = pairs.groupBy("row").agg(F.min(F.struct("h", "a", "b")).alias("x")).select("x.a", "x.b")
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            if turn < ROUNDS - 1 and turn:
-                continue
-            if turn:
-                break
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(stored(verify(pairs, some, numerator, denominator), "links"))
+    rows = some.select("row", "size", F.size("keys").alias("weight"), F.explode("keys").alias("k"))
+    rows = stored(rows, "keys")
+    links = labels = tried = None
+    fits = denominator * F.least("size", "size2") >= numerator * F.greatest("size", "size2")
+
+    def unresolved(turn: int) -> tuple[DataFrame, DataFrame]:
+        """Rows with their component, and the keys that still join several, each with a hub."""
+        named = rows.withColumn("c", F.col("row"))
+        if labels is not None:
+            named = rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("c", F.coalesce("component", "row")).drop("component")
+        # A set of many shared keys is near the middle of its copies; later rounds draw another.
+        draw = F.xxhash64("row", F.lit(turn))
+        first = F.struct((-F.col("weight") if turn == 0 else F.lit(0)).alias("w"), draw.alias("h"), F.col("row").alias("row2"), F.col("size").alias("size2"), F.col("c").alias("other"))
+        per_key = named.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(first).alias("hub"))
+        return named, per_key.where("c1 <> c2").select("k", "hub.*")
+
+    for turn in range(ROUNDS):
+        named, hubs = unresolved(turn)
+        met = named.join(hubs, "k").where(fits & (F.col("c") != F.col("other")))
+        pairs = met.select("row", "w", "h", F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs.groupBy("row").agg(F.min(F.struct("w", "h", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "pairs")
+        found = stored(verify(pairs, some, numerator, denominator), "links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         labels = components(links)
-    return labels
+    named, hubs = unresolved(ROUNDS)
+    left = stored(named.join(hubs.select("k", "row2"), "k").select("k", "row", "size", "c", "row2"), "open")
+    families = components(left.select(F.col("row2").alias("a"), F.col("row").alias("b")))
+    residue = left.select("row", "size", "c").distinct().join(families.select(F.col("node").alias("row"), F.col("component").alias("family")), "row")
+    found = stored(compare_residue(residue, some, numerator, denominator), "links")
+    return components(found if links is None else links.unionByName(found))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -284,7 +334,7 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **options
         yield block.rows.append_column("_row", pa.array((block.number << 20) + np.arange(block.rows.num_rows)))
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [text, *[c for c in columns if c != text]])
-    numbered = exchange.scan(df.select(text, *[c for c in columns if c != text]), f"{fields}, _row long", number)
+    numbered = exchange.scan(df.select(text, *[c for c in columns if c != text]), f"{fields}, _row long", number, BLOCK_BYTES)
     return numbered.join(stored(gone, "gone").withColumnRenamed("row", "_row"), "_row", "left_anti").select(*columns)
 
 

@@ -26,6 +26,8 @@ from furlong.llm.exchange import Block
 from furlong.llm.spans import column_bytes, hash_spans
 
 LENGTH = 200
+#: Text of a block, and text behind one part of the keys, in bytes: a part can get a key a byte.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 
 
 @functools.lru_cache(8)
@@ -74,14 +76,14 @@ class Suffixes:
         known = np.zeros(len(self.buf) + 1, np.int32)
         known[samples[repeated] + 1] = 1
         np.cumsum(known, out=known)
-        fits = np.zeros(len(self.buf) + 1, np.int8)
+        fits = np.zeros(len(self.buf) + 1, np.int8)  # 1 where suffixes of a document begin to be long enough, -1 where they end
         sizes = np.diff(self.offsets)
         long = sizes >= self.length
         np.add.at(fits, self.offsets[:-1][long], 1)
         np.add.at(fits, self.offsets[1:][long] - self.length + 1, -1)
         inside = np.cumsum(fits[:-1], dtype=np.int8) > 0
-        end = np.minimum(np.arange(len(self.buf)) + self.modulus, len(self.buf))
-        return np.flatnonzero(inside & (known[end] > known[:-1]))
+        ahead = np.concatenate([known[self.modulus :], np.full(min(self.modulus, len(known)), known[-1])])[: len(self.buf)]
+        return np.flatnonzero(inside & (ahead > known[:-1]))
 
 
 def _ask(block: Block, names: np.ndarray, parts: int, check: int) -> pa.RecordBatch:
@@ -108,7 +110,7 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, charac
     columns = [text, *[c for c in df.columns if c not in (text, "kept", "removed")]]
     df = df.select(columns)
     texts = df.select(text)
-    parts = exchange.parts_of(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    parts = exchange.parts_of(df.agg(F.sum(F.octet_length(text))).first()[0] or 0, PART_BYTES)
 
     def first(block: Block) -> Iterator[pa.RecordBatch]:
         s = Suffixes(block.rows.column(0), length)
@@ -117,7 +119,7 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, charac
     def elsewhere(keys: np.ndarray, several: np.ndarray) -> np.ndarray:
         return exchange.elsewhere(keys, several).astype(np.uint8)
 
-    covers = exchange.answer(exchange.scan(texts, exchange.ROW, first), elsewhere, "u1")
+    covers = exchange.answer(exchange.scan(texts, exchange.ROW, first, BLOCK_BYTES), elsewhere, "u1")
 
     def open_suffixes(block: Block, check: int) -> tuple[Suffixes, np.ndarray]:
         s = Suffixes(block.rows.column(0), length)
@@ -129,7 +131,7 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, charac
         s, at = open_suffixes(block, check)
         yield _ask(block, s.names(at, length), parts, check)
 
-    full = exchange.answer(exchange.scan(texts, exchange.ROW, second), elsewhere, "u1")
+    full = exchange.answer(exchange.scan(texts, exchange.ROW, second, BLOCK_BYTES), elsewhere, "u1")
 
     def third(block: Block) -> Iterator[pa.Table]:
         check = block.check(0)
@@ -156,7 +158,7 @@ def find_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, charac
         yield block.rows.append_column("kept", kept.cast(pa.binary())).append_column("removed", runs)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return exchange.scan(df, f"{fields}, kept binary, removed array<struct<start: bigint, end: bigint>>", third)
+    return exchange.scan(df, f"{fields}, kept binary, removed array<struct<start: bigint, end: bigint>>", third, BLOCK_BYTES)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

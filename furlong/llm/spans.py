@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the memory of the prefix sums.
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+.

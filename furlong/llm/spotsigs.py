@@ -101,12 +101,13 @@ def with_next(df: DataFrame, key: str, columns: list[str], span: int = 512) -> D
     for the first row of the next range that has rows."""
     df = df.select(key, *columns, F.shiftright(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))), span.bit_length() - 1).alias("_range"))
     order = Window.partitionBy("_range").orderBy(F.desc_nulls_last(key), *columns)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumns({f"next_{c}": F.lead(c).over(order) for c in (key, *columns)}).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
+    ranked = df.withColumn("_first", F.lag(F.lit(1)).over(order).isNull()).withColumns({f"next_{c}": F.lead(c).over(order) for c in (key, *columns)}).withColumn("_last", F.lead(F.lit(1)).over(order).isNull())
     ranges = df.select("_range").distinct()
-    follow = ranges.withColumn("_follow", F.lead("_range").over(Window.orderBy(F.desc("_range"))))
-    follow = follow.join(F.broadcast(ranges.agg(F.max("_range").alias("_top")))).select("_range", F.coalesce("_follow", "_top").alias("_follow"))
-    firsts = ranked.where(F.col("_rank") == 1).select(F.col("_range").alias("_follow"), *[F.col(c).alias(f"next_{c}") for c in (key, *columns)])
-    inner = ranked.where(~F.col("_last")).drop("_range", "_rank", "_last")
+    down = Window.orderBy(F.desc("_range"))
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = ranges.select("_range", F.coalesce(F.lead("_range").over(down), F.first("_range").over(whole)).alias("_follow"))
+    firsts = ranked.where("_first").select(F.col("_range").alias("_follow"), *[F.col(c).alias(f"next_{c}") for c in (key, *columns)])
+    inner = ranked.where(~F.col("_last")).drop("_range", "_first", "_last")
     outer = ranked.where("_last").drop(*[f"next_{c}" for c in (key, *columns)]).join(follow, "_range").join(firsts, "_follow")
     return inner.unionByName(outer.select(*inner.columns))
 

@@ -36,8 +36,11 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application, also where it is
-    not installed on them."""
+    """Prepare a session: make this package importable in the Python workers, once per application,
+    also where it is not installed on them, and bound their batches."""
+    # Texts are long: a batch of this many rows keeps workers and their channels small.
+    if spark.conf.get(BATCH_ROWS[0]) == "10000":
+        spark.conf.set(*BATCH_ROWS)
     context = spark.sparkContext
     if _shipped.get("to") == context.applicationId:
         return
@@ -51,3 +54,5 @@ def ship(spark: SparkSession) -> None:
 
 
 _shipped: dict[str, str] = {}
+#: Set where the session has Spark's own default.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")

@@ -53,7 +53,7 @@ def test_difference_cover(length):
 
 @pytest.mark.parametrize(("length", "block"), [(200, 1 << 24), (50, 2000), (21, 500)])
 def test_repeats_against_brute_force(table, monkeypatch, length, block):
-    monkeypatch.setattr(exchange.scan, "__defaults__", (block,))
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
     monkeypatch.setattr(exchange, "STEP_ROWS", 7)
     rows = corpus()
     out = repeats.find_repeats(table(rows, SCHEMA), length=length).toPandas()
@@ -101,7 +101,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates_against_brute_force(table, monkeypatch, seed):
-    monkeypatch.setattr(exchange.scan, "__defaults__", (4000,))
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(exchange, "STEP_ROWS", 9)
     rows = corpus(seed, 8, 9)
     df = table(rows, SCHEMA)
@@ -115,11 +115,13 @@ def test_near_duplicates_against_brute_force(table, monkeypatch, seed):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_hub_rounds_and_pairwise_rest_agree(table, monkeypatch):
+def test_hub_rounds_and_blocks_agree(table, monkeypatch):
     rows = corpus(5, 4, 9)
     df = table(rows, SCHEMA)
     want = sorted(map(tuple, jaccard.near_duplicates(df).select("row", "component_id").fillna(-1).collect()))
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
     assert sorted(map(tuple, jaccard.near_duplicates(df).select("row", "component_id").fillna(-1).collect())) == want
 
 
