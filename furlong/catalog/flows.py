@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furlong.catalog import base
+from furlong.catalog import base, reports
 from furlong.catalog.registry import query
 from furlong.operators import latest
 from furlong.plans import evaluated, shadow
@@ -95,7 +95,7 @@ def view_rebuild(spark, d):
     )
 
 
-@query("materialised_view")
+@query("materialised_view", reports.PERF_SUMMARY_SQL)
 def materialised_view(spark, d):
     """The evaluation table written in full; the summary then reads it."""
     path = _path(spark, d, "evaluated")
@@ -103,7 +103,7 @@ def materialised_view(spark, d):
         base.predictions(spark, d), base.results(spark, d), base.programs(spark, d), base.prediction_results(spark, d)
     )
     tables.rebuild(live, path)
-    return evaluated.summary(evaluated.source(tables.read_or_none(spark, path), live))
+    return reports._rounded(evaluated.summary(evaluated.source(tables.read_or_none(spark, path), live)))
 
 
 @query(

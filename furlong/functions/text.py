@@ -208,7 +208,7 @@ def holds_any(value: Column, words: list[str]) -> Column:
 
 
 def _class_without_noise(value: Column) -> Column:
-    said = F.transform(F.split(value, ","), F.trim)
+    said = F.transform(F.split(value, ","), lambda part: F.trim(part))
     return F.array_join(F.filter(said, lambda part: ~holds_any(part, CLASS_NOISE) & ~part.rlike("^[0-9]+$")), ", ")
 
 
