@@ -4,7 +4,8 @@ Texts become sequences of tokens in which numbers, units and names are typed pla
 of template tokens of the benchmark meet those of the documents in a hash join. Along one alignment
 of a document with an item the values in the slots must be consistent: one value of the item always
 stands for one value of the document. So a copied question is found, and also one with other
-numbers or names.
+numbers or names. Windows of plain lower-cased words meet in the same join, so a copy of any item
+is found whatever its words are.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furlong.llm.spans import BYTE_VALUE, LOWER_VALUE, chain, column_bytes, hash_spans, mix
 
-#: Template tokens of a window; items of fewer are searched as a whole down to LEAST tokens.
+#: Tokens of a window. Items of fewer are searched as a whole: as plain words down to one word, as
+#: templates down to LEAST tokens.
 WINDOW, LEAST = 8, 4
+#: Forms in which texts are compared: as templates, and as plain lower-cased words.
+TEMPLATE, PLAIN = 0, 2
 #: An item counts as found in a document when this share of its windows is.
 COVERAGE = 0.5
 #: Bits of the filter that windows of documents pass before the join, and bytes handled at a time.
@@ -54,12 +58,14 @@ def _hashes_of(words: list[str]) -> np.ndarray:
 _NUMBERS_KNOWN, _UNITS_KNOWN = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
 
 
-def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of all rows end to end, the value behind each placeholder (0 for a literal
-    token), and how many tokens lie before each row (n + 1)."""
+def forms(buf: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each form its tokens of all rows end to end, the value behind each placeholder (0 for a
+    literal token), how many tokens lie before each row (n + 1), and how many template tokens
+    before each token."""
     n = len(buf)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return {TEMPLATE: none, PLAIN: none}
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     inside, digit = _TOKEN[buf], _DIGIT[buf]
@@ -71,7 +77,7 @@ def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return {TEMPLATE: none, PLAIN: none}
     word = hash_spans(buf, s, e, LOWER_VALUE)
     digits = np.concatenate([[0], np.cumsum(digit)])
     number = (digits[e] > digits[s]) | np.isin(word, _NUMBERS_KNOWN)
@@ -96,11 +102,16 @@ def template(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         tail = np.flatnonzero(name & ~np.append(again[1:], False))
         value[head] = hash_spans(buf, s[head], e[tail], BYTE_VALUE) | np.uint64(1)
     kept = ~again
-    return token[kept], value[kept], np.searchsorted(s[kept], offsets)
+    place = np.cumsum(kept) - 1
+    return {
+        TEMPLATE: (token[kept], value[kept], np.searchsorted(s[kept], offsets), place[kept]),
+        PLAIN: (word, np.zeros(len(s), np.uint64), np.searchsorted(s, offsets), place),
+    }
 
 
 def _windows(token: np.ndarray, value: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of windows that lie in one row and hold at least half literal tokens, and their hashes."""
+    """Positions of windows that lie in one row and hold at least half literal tokens, and their
+    hashes. All tokens of the plain form are literal."""
     hashes = chain(token, size)
     if not len(hashes):
         return np.zeros(0, np.int64), hashes
@@ -121,76 +132,94 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def windows(df: DataFrame, text: str, sizes: list[int], allowed: Column | np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """Rows (all columns of df but the text, size, at, hash, slots, tokens) of template windows.
+def windows(df: DataFrame, text: str, sizes: dict[int, list[int]], allowed: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """Rows (all columns of df but the text, form, size, at, hash, slots, place, windows) of windows.
 
-    allowed: a filter of 2**FILTER_BITS bits; windows whose hash it does not hold cannot match and
-    are left out. whole: each row takes only the largest size that it can fill."""
+    sizes: of the windows of each form. allowed: a filter of 2**FILTER_BITS bits; windows whose hash
+    it does not hold cannot match and are left out, and equal plain windows of a row are one. whole:
+    each row takes only the largest size that it can fill. place: template tokens of the row before
+    the window; windows: rows of this text, form and size."""
     others = [c for c in df.columns if c != text]
     mask = df.sparkSession.sparkContext.broadcast(allowed) if allowed is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, buf, offsets in _pieces(batch.column(text)):
-                token, value, starts = template(buf, offsets)
-                length = np.diff(starts)
-                for size in sizes:
+                made = forms(buf, offsets)
+                first = made[TEMPLATE][2]
+                for form, size in ((f, x) for f in sizes for x in sizes[f]):
+                    token, value, starts, place = made[form]
+                    length = np.diff(starts)
                     at, hashes = _windows(token, value, starts, size)
+                    if mask is not None:
+                        bit = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        held = (mask.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                        at, hashes = at[held], hashes[held]
                     row = np.searchsorted(starts, at, side="right") - 1
-                    good = np.ones(len(at), bool)
                     if whole:
-                        good = (length[row] >= size) & ((size == max(sizes)) | (length[row] == size))
-                    if mask is not None:
-                        place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        good &= (mask.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                    at, hashes, row = at[good], hashes[good], row[good]
+                        good = (length[row] >= size) & ((size == max(sizes[form])) | (length[row] == size))
+                        at, hashes, row = at[good], hashes[good], row[good]
+                    if mask is not None and form == PLAIN:
+                        once = np.sort(np.unique(np.stack([row.astype(np.uint64), hashes]), axis=1, return_index=True)[1])
+                        at, hashes, row = at[once], hashes[once], row[once]
                     if not len(at):
                         continue
-                    slots = value[at[:, None] + np.arange(size)].astype(np.int64)
+                    width = 0 if form == PLAIN else size
+                    slots = value[at[:, None] + np.arange(width)].astype(np.int64)
                     out = batch.select(others).take(pa.array(row + base))
-                    slots = pa.ListArray.from_arrays(np.arange(0, len(at) * size + 1, size, dtype=np.int32), pa.array(slots.ravel()))
-                    for name, col in (("size", pa.array(np.full(len(at), size))), ("at", pa.array(at - starts[row])), ("hash", pa.array(hashes.astype(np.int64))), ("slots", slots), ("tokens", pa.array(length[row]))):
+                    slots = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * np.int32(width), pa.array(slots.ravel()))
+                    for name, col in (
+                        ("form", pa.array(np.full(len(at), form))), ("size", pa.array(np.full(len(at), size))), ("at", pa.array(at - starts[row])), ("hash", pa.array(hashes.astype(np.int64))),
+                        ("slots", slots), ("place", pa.array(place[at] - first[row])), ("windows", pa.array(np.bincount(row)[row])),
+                    ):
                         out = out.append_column(name, col)
                     yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
-    return df.mapInArrow(cut, f"{fields}, size long, at long, hash long, slots array<long>, tokens long")
+    return df.mapInArrow(cut, f"{fields}, form long, size long, at long, hash long, slots array<long>, place long, windows long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Rows (key, text_hash, item, kind, matched, windows, coverage, at) of documents that hold an item.
 
-    kind: `exact` if all slot values are the item's, else `reparameterised`. matched: windows of the
-    item found at consistent alignments; at: first template token of the passage in the document.
-    Items of equal text are one item, named by the least key. Null and empty texts, and items of
-    fewer than LEAST template tokens, match nothing. Other columns are ignored."""
+    kind: `exact` if the words or all slot values are the item's, else `reparameterised`. An item is
+    found as plain words, whatever they are, or as a template. windows: of the item in the form in
+    which it was found; of a template only those with at least half literal tokens, as others say too
+    little to be searched. matched: how many of them were found at consistent alignments; at: first
+    template token of the passage in the document. Items of equal text are one item, named by the
+    least key. Null texts and texts without a word match nothing; an item of fewer than LEAST
+    template tokens, or without a window of enough literal ones, is found as plain words only.
+    Other columns are ignored."""
     items = items.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(item_key).alias("item"))
-    bench = windows(items.select("item", "t"), "t", list(range(LEAST, WINDOW + 1)), whole=True)
-    bench = bench.withColumn("windows", F.col("tokens") - F.col("size") + 1).drop("tokens")
-    mine = bench.select("item", "size", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "windows")
+    bench = windows(items.select("item", "t"), "t", {TEMPLATE: list(range(LEAST, WINDOW + 1)), PLAIN: list(range(1, WINDOW + 1))}, whole=True)
+    mine = bench.select("item", "form", "size", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "windows")
     # The filter is a bitmap of fixed size, built from the distinct places that windows take.
-    places = bench.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p"), "size").distinct().toPandas()
+    places = bench.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p"), "form", "size").distinct().toPandas()
     allowed = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     place = places["p"].to_numpy(np.int64)
     np.bitwise_or.at(allowed, place >> 3, (1 << (place & 7)).astype(np.uint8))
-    sizes = sorted({int(s) for s in places["size"]}) or [WINDOW]
+    sizes = {int(f): sorted({int(s) for s in part}) for f, part in places.groupby("form")["size"]} or {PLAIN: [WINDOW]}
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
-    theirs = windows(source, "t", sizes, allowed).drop("tokens")
+    theirs = windows(source, "t", sizes, allowed).drop("windows")
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    met = theirs.join(mine, ["size", "hash"]).withColumn("pairs", pairs).withColumn("shift", F.col("at") - F.col("item_at"))
-    aligned = met.groupBy("key", "text_hash", "item", "windows", "shift").agg(
-        F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("at").alias("at")
+    # Plain windows of a row were made one, so their distance says nothing; they are consistent anyhow.
+    shift = F.when(F.col("form") != PLAIN, F.col("at") - F.col("item_at"))
+    met = theirs.join(mine, ["form", "size", "hash"]).withColumn("pairs", pairs).withColumn("shift", shift)
+    aligned = met.groupBy("key", "text_hash", "item", "form", "windows", "shift").agg(
+        F.collect_set("item_at").alias("found"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("place").alias("at")
     )
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"])))
     same = F.forall("pairs", lambda x: x["item_slots"] == x["slots"])
-    whole = aligned.where(consistent).withColumn("same", same).groupBy("key", "text_hash", "item", "windows").agg(
+    whole = aligned.where(consistent).withColumn("same", same).groupBy("key", "text_hash", "item", "form", "windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("matched"),
         F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("same"), F.col("found")))))).alias("matched_same"), F.min("at").alias("at"),
     )
     enough = F.lit(coverage) * F.col("windows")
-    return whole.where(F.col("matched") >= enough).select(
-        F.col("key").alias(key), "text_hash", "item", F.when(F.col("matched_same") >= enough, "exact").otherwise("reparameterised").alias("kind"),
-        F.col("matched").cast("long"), "windows", (F.col("matched") / F.col("windows")).alias("coverage"), "at",
+    held = whole.where(F.col("matched") >= enough).withColumn("exact", F.col("matched_same") >= enough).withColumn("share", F.col("matched") / F.col("windows"))
+    best = F.max_by(F.struct("exact", "matched", "windows", "share", "at"), F.struct("exact", "share", -F.col("form"))).alias("b")
+    return held.groupBy("key", "text_hash", "item").agg(best).select(
+        F.col("key").alias(key), "text_hash", "item", F.when(F.col("b.exact"), "exact").otherwise("reparameterised").alias("kind"),
+        F.col("b.matched").cast("long").alias("matched"), "b.windows", F.col("b.share").alias("coverage"), "b.at",
     )
 
 

@@ -57,6 +57,15 @@ def test_leaks(table):
     assert decontamination.leaks(docs, items.limit(0)).count() == 0 and decontamination.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_copies_of_placeholder_heavy_and_short_items(table):
+    texts = ["What is 12 + 35 + 47 + 88 + 93?", "1 2 3 5 8 13 21 34 55 89 144 233", "The Old Man And The Sea Again", "Add 3 4", "If 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 are summed up, what comes out of it?"]
+    items = table([*enumerate(texts), (5, "?!"), (6, texts[0])], "item_id long, text string")
+    rows = [(i, f"some words before. {t.lower()} and after", None) for i, t in enumerate(texts)]
+    rows += [(7, "What is 12 + 35 + 47 + 88 + 94?", None), (8, "2 3 5 8 9 13 21 34 55 90", None), (9, "?!", None), (None, texts[4], None)]
+    out = {(r.doc_id, r.item, r.kind) for r in decontamination.leaks(table(rows, DOCS), items).collect()}
+    assert out == {*((i, i, "exact") for i in range(5)), (None, 4, "exact")}
+
+
 def test_leaks_against_plain_search(spark, table):
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abcdefg") for _ in range(draw.randint(2, 6)))
