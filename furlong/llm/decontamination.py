@@ -22,8 +22,9 @@ from furlong.llm.spans import BYTE_VALUE, LOWER_VALUE, chain, column_bytes, hash
 #: Tokens of a window. Items of fewer are searched as a whole: as plain words down to one word, as
 #: templates down to LEAST tokens.
 WINDOW, LEAST = 8, 4
-#: Forms in which texts are compared: as templates, and as plain lower-cased words.
-TEMPLATE, PLAIN = 0, 2
+#: Forms in which texts are compared: as templates, as templates in which a capitalised word at the
+#: start of a sentence is a name as well, and as plain lower-cased words.
+TEMPLATE, OPENED, PLAIN = 0, 1, 2
 #: An item counts as found in a document when this share of its windows is.
 COVERAGE = 0.5
 #: Bits of the filter that windows of documents pass before the join, and bytes handled at a time.
@@ -65,7 +66,7 @@ def forms(buf: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, n
     n = len(buf)
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     if not n:
-        return {TEMPLATE: none, PLAIN: none}
+        return {TEMPLATE: none, OPENED: none, PLAIN: none}
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     inside, digit = _TOKEN[buf], _DIGIT[buf]
@@ -77,7 +78,7 @@ def forms(buf: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, n
     last[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(s):
-        return {TEMPLATE: none, PLAIN: none}
+        return {TEMPLATE: none, OPENED: none, PLAIN: none}
     word = hash_spans(buf, s, e, LOWER_VALUE)
     digits = np.concatenate([[0], np.cumsum(digit)])
     number = (digits[e] > digits[s]) | np.isin(word, _NUMBERS_KNOWN)
@@ -89,24 +90,33 @@ def forms(buf: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[np.ndarray, n
     second = buf[np.minimum(s + 1, n - 1)]
     capital = (buf[s] >= 65) & (buf[s] <= 90) & (e - s > 1) & ((second >= 97) & (second <= 122) | (second >= 128))
     capital |= (buf[s] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (e - s > 2)
-    name = capital & ~fresh & ~number & ~unit
-    # A run of name words is one slot.
-    again = np.zeros(len(s), bool)
-    again[1:] = name[1:] & name[:-1]
-    token = word.copy()
-    for found, kind in ((number, _NUMBER), (unit, _UNIT), (name, _NAME)):
-        token[found] = kind
-    value = np.where(number | unit | name, word | np.uint64(1), np.uint64(0))
-    if again.any():
-        head = np.flatnonzero(name & ~again)
-        tail = np.flatnonzero(name & ~np.append(again[1:], False))
-        value[head] = hash_spans(buf, s[head], e[tail], BYTE_VALUE) | np.uint64(1)
-    kept = ~again
-    place = np.cumsum(kept) - 1
-    return {
-        TEMPLATE: (token[kept], value[kept], np.searchsorted(s[kept], offsets), place[kept]),
-        PLAIN: (word, np.zeros(len(s), np.uint64), np.searchsorted(s, offsets), place),
-    }
+    capital &= ~number & ~unit
+    name = capital & ~fresh
+    # At the start of a sentence a word joins a name that follows only if the row has it as a name elsewhere.
+    row = np.searchsorted(offsets, s, side="right").astype(np.uint64)
+    known = capital & np.isin(word ^ mix(row), (word ^ mix(row))[name])
+    plain = np.zeros(len(s), np.uint64)
+
+    def slotted(name: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        # A run of name words is one slot.
+        again = np.zeros(len(s), bool)
+        again[1:] = name[1:] & name[:-1] & joins[:-1] & ~fresh[1:]
+        token = word.copy()
+        for found, kind in ((number, _NUMBER), (unit, _UNIT), (name, _NAME)):
+            token[found] = kind
+        value = np.where(number | unit | name, word | np.uint64(1), np.uint64(0))
+        if again.any():
+            head = np.flatnonzero(name & ~again)
+            tail = np.flatnonzero(name & ~np.append(again[1:], False))
+            long = tail > head
+            value[head[long]] = hash_spans(buf, s[head[long]], e[tail[long]], BYTE_VALUE) | np.uint64(1)
+        kept = ~again
+        return token[kept], value[kept], np.searchsorted(s[kept], offsets), kept
+
+    templates = {TEMPLATE: slotted(name, name), OPENED: slotted(capital, name | known)}
+    place = np.cumsum(templates[TEMPLATE][3]) - 1
+    made = {f: (token, value, starts, place[kept]) for f, (token, value, starts, kept) in templates.items()}
+    return made | {PLAIN: (word, plain, np.searchsorted(s, offsets), place)}
 
 
 def _windows(token: np.ndarray, value: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +193,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """Rows (key, text_hash, item, kind, matched, windows, coverage, at) of documents that hold an item.
 
     kind: `exact` if the words or all slot values are the item's, else `reparameterised`. An item is
-    found as plain words, whatever they are, or as a template. windows: of the item in the form in
+    found as plain words, whatever they are, or as a template, in which capitalised words at the start of
+    a sentence are all literal or all names. windows: of the item in the form in
     which it was found; of a template only those with at least half literal tokens, as others say too
     little to be searched. matched: how many of them were found at consistent alignments; at: first
     template token of the passage in the document. Items of equal text are one item, named by the
@@ -191,7 +202,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     template tokens, or without a window of enough literal ones, is found as plain words only.
     Other columns are ignored."""
     items = items.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(item_key).alias("item"))
-    bench = windows(items.select("item", "t"), "t", {TEMPLATE: list(range(LEAST, WINDOW + 1)), PLAIN: list(range(1, WINDOW + 1))}, whole=True)
+    bench = windows(items.select("item", "t"), "t", {**dict.fromkeys((TEMPLATE, OPENED), list(range(LEAST, WINDOW + 1))), PLAIN: list(range(1, WINDOW + 1))}, whole=True)
     mine = bench.select("item", "form", "size", "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "windows")
     # The filter is a bitmap of fixed size, built from the distinct places that windows take.
     places = bench.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("p"), "form", "size").distinct().toPandas()

@@ -66,6 +66,15 @@ def test_copies_of_placeholder_heavy_and_short_items(table):
     assert out == {*((i, i, "exact") for i in range(5)), (None, 4, "exact")}
 
 
+def test_names_at_the_start_of_sentences(table):
+    tom = "{0} has {1} apples. {0} buys {2} more. How many apples does {0} have?"
+    ride = "{0} rides to the {1} shops by noon. Then the old mule of the neighbour rests for {2} hours there."
+    items = table([(1, tom.format("Tom", 5, 3)), (2, ride.format("Tom", 5, 3)), (3, tom.format("Ann Lee", 5, 3).replace("apples", "pears"))], "item_id long, text string")
+    texts = [tom.format("Anna", 7, 2), tom.format("Tom", 5, 3).lower(), ride.format("Eve", 4, 9), tom.format("Bob", 1, 2).replace("apples", "pears"), tom.format("Anna", 7, 2).replace("does Anna", "does Eve").replace("Anna buys", "Bob buys")]
+    out = {(r.doc_id, r.item, r.kind) for r in decontamination.leaks(table([(i, f"Intro. {t} Outro.", None) for i, t in enumerate(texts)], DOCS), items).collect()}
+    assert out == {(0, 1, "reparameterised"), (1, 1, "exact"), (2, 2, "reparameterised"), (3, 3, "reparameterised")}
+
+
 def test_leaks_against_plain_search(spark, table):
     draw = random.Random(1)
     word = lambda: "".join(draw.choice("abcdefg") for _ in range(draw.randint(2, 6)))
