@@ -1,8 +1,9 @@
 """Operator 10, document fingerprints by spot signatures. DataFrame functions only.
 
 Common words are anchors. After each run of anchors the next CHAIN content words, whatever anchors
-lie between them, are a signature; so is the chain at the start of a text. The fingerprint is the
-sorted set of their hashes. Fingerprints are compared by Jaccard, and only where the lengths of
+lie between them, are a signature; so is the chain at the start of a text. Where no anchor comes for
+LONG content words, or in the whole text, as in languages without listed anchors, in lists and in
+logs, each word of that stretch starts a signature. The fingerprint is the sorted set of their hashes. Fingerprints are compared by Jaccard, and only where the lengths of
 the sets allow the threshold: sets are partitioned by length, and a pair of lengths that is too
 far apart is never formed.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Content words of a signature.
 CHAIN = 2
+#: Content words in a row from which each starts a signature.
+LONG = 5
 #: Anchors: frequent function words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by can do for from had has have he her his i if in is it its not of on or our she so that the their them then there "
@@ -42,12 +45,21 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     text = F.coalesce(text, F.lit(""))
     anchors = sorted(set(ANCHORS))
     marked = F.transform(words(text), lambda w: F.when(w.isin(anchors), _MARK).when(w == "", "").otherwise(F.concat(w, F.lit(" "))))
-    line = F.concat(F.lit(_MARK), F.array_join(marked, ""))
     content = f"[^{_MARK} ]+ "
-    found = F.regexp_extract_all(line, F.lit(f"{_MARK}(?=({f'{_MARK}*'.join([content] * chain)}))"), F.lit(1))
-    hashes = F.transform(found, lambda s: F.hash(F.translate(s, _MARK, "")))
-    short = F.when(F.rtrim(F.translate(line, _MARK, "")) != "", F.hash(F.translate(line, _MARK, ""))).otherwise(F.hash(text))
-    return F.when(text == "", F.array().cast("array<int>")).when(F.size(found) == 0, F.array(short)).otherwise(F.array_sort(F.array_distinct(hashes)))
+
+    def of_line(line: Column) -> Column:
+        found = F.regexp_extract_all(line, F.lit(f"{_MARK}(?=({f'{_MARK}*'.join([content] * chain)}))"), F.lit(1))
+        stretches = F.filter(F.split(line, f"{_MARK}+"), lambda s: s != "")
+        long = F.filter(stretches, lambda s: F.char_length(s) - F.char_length(F.translate(s, " ", "")) >= LONG)
+        every = F.transform(
+            F.when(F.size(stretches) == 1, stretches).otherwise(long), lambda s: F.regexp_extract_all(s, F.lit(f"(?=({content * chain})){content}"), F.lit(1))
+        )
+        hashes = F.transform(F.concat(found, F.flatten(every)), lambda s: F.hash(F.translate(s, _MARK, "")))
+        short = F.when(F.rtrim(F.translate(line, _MARK, "")) != "", F.hash(F.translate(line, _MARK, ""))).otherwise(F.hash(text))
+        return F.when(text == "", F.array().cast("array<int>")).when(F.size(hashes) == 0, F.array(short)).otherwise(F.array_sort(F.array_distinct(hashes)))
+
+    # The line is bound as an element so that it is made once.
+    return F.transform(F.array(F.concat(F.lit(_MARK), F.array_join(marked, ""))), of_line)[0]
 
 
 def written(signature_set: Column) -> Column:

@@ -168,6 +168,19 @@ def test_spot_signatures_and_next_rows(table):
     assert follow == {5000: 900, 900: 4, 4: 3, 3: 2, 2: 1, 1: -1, -1: 5000}
 
 
+def test_texts_without_listed_anchors(table):
+    words = [f"слово{i}" for i in range(40)]
+    other = [f"другое{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words[:20] + other[:20]), " ".join(words[:-1]), "10 20 30 40", "10 20 30 50", "the " + " ".join(other) + " and more", " ".join(f"{i}" for i in range(20000))]
+    df = table([(i, t, None, None) for i, t in enumerate(texts)], SCHEMA).withColumn("signatures", spotsigs.signatures(F.col("text")))
+    sets = {r.doc_id: set(r.signatures) for r in df.collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert [len(sets[i]) for i in range(6)] == [39, 39, 38, 3, 3, 39] and len(sets[6]) > 19990  # of 32 bits
+    assert like(0, 1) == 19 / 59 and like(0, 2) == 38 / 39 and like(3, 4) == 0.5
+    members, pairs = spotsigs.similar_pairs(df, 0.8)
+    assert all(r.doc_id == r["class"] for r in members.collect()) and {(r.a, r.b) for r in pairs.collect()} == {(0, 2)}
+
+
 def test_edited_texts(spark, table, tmp_path):
     rows = [(i, t, None, None) for i, (_, t, *_) in enumerate(corpus(3, 4, 6))]
     path = tmp_path / "in"
