@@ -131,7 +131,7 @@ def recursive_objects(spark, d):
         )
     )
     rows = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), payload.alias("payload"))
-    return entities.nested_objects(rows, "id", "payload", "HORSE_NAME", 3)
+    return entities.nested_objects(rows, "id", "payload", "HORSE_NAME")
 
 
 @query(
