@@ -3,7 +3,8 @@
 A page is cut into tags and text; the elements form a tree. Every block of text passes points for
 its length and commas to the elements around it, discounted by the share of its text that is in
 links. The element with the most points is the container of the article; siblings that hold
-article text as well are kept, everything else goes.
+article text as well are kept, everything else goes. Elements marked as boilerplate go before that,
+unless the tree shows that they are wrappers around the article.
 """
 
 from __future__ import annotations
@@ -42,27 +43,39 @@ BOILERPLATE = frozenset(
 
 
 class Element:
-    __slots__ = ("tag", "parent", "points", "dropped", "inner", "order")
+    """marks: the marked elements from the root down to this one; core: the article or main that it is
+    or lies in."""
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, order: int):
-        self.tag, self.parent, self.dropped, self.points, self.inner, self.order = tag, parent, dropped, 0.0, [], order
+    __slots__ = ("tag", "parent", "dropped", "order", "marks", "core")
 
+    def __init__(self, tag: str, parent: Element | None, verdict: int, order: int):
+        self.tag, self.parent, self.order = tag, parent, order
+        self.dropped = verdict == GONE or parent is not None and parent.dropped
+        above = parent.marks if parent is not None else ()
+        self.marks = (*above, self) if verdict == MARKED else above
+        self.core = self if tag in ("article", "main") else parent.core if parent is not None else None
 
-def boilerplate(tag: str, attributes: str, parent: Element) -> bool:
+
+#: What tag and attributes say of an element: nothing, that it is boilerplate or a wrapper, that it goes.
+FREE, MARKED, GONE = 0, 1, 2
+
+
+def boilerplate(tag: str, attributes: str, parent: Element) -> int:
     """Whether tag or attributes say that an element is not part of the article."""
-    if tag in DROPPED:
-        return True
+    if tag in DROPPED and tag not in ("form", "fieldset"):
+        return GONE
     if tag == "header" and not any(x.tag in ("article", "main") for x in ancestors(parent)):
-        return True
+        return GONE
+    verdict = MARKED if tag in DROPPED else FREE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return verdict
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return GONE
         if name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            verdict = MARKED
+    return verdict
 
 
 def ancestors(element: Element | None) -> Iterator[Element]:
@@ -83,7 +96,7 @@ class Block:
 def parse(page: str) -> list[Block]:
     """The blocks of text of a page in order, without those in dropped elements. Markup may be
     cut off or badly nested."""
-    root = Element("html", None, False, 0)
+    root = Element("html", None, FREE, 0)
     at, blocks, pieces, linked, links, position, count = root, [], [], 0, 0, 0, 0
 
     def end_block() -> None:
@@ -171,10 +184,41 @@ def parse(page: str) -> list[Block]:
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         count += 1
-        at = Element(tag, at, at.dropped or boilerplate(tag, attributes, at), count)
+        at = Element(tag, at, boilerplate(tag, attributes, at), count)
         links += tag == "a"
     end_block()
-    return blocks
+    return unwrapped(blocks)
+
+
+def unwrapped(blocks: list[Block]) -> list[Block]:
+    """The blocks without those in marked elements. A mark is lifted, the one around most text first,
+    while no article or main element has text outside of marks and the marked element holds a main
+    element, an article with more text than is outside, or most of the page's text and four times as
+    much as is outside. Text in links does not count."""
+    if not any(b.element.marks for b in blocks):
+        return blocks
+    lifted: set[Element] = set()
+    while True:
+        outside, core, held = 0, False, {}
+        for b in blocks:
+            size = max(0, len(b.text) - b.linked)
+            mark = next((x for x in b.element.marks if x not in lifted), None)
+            if mark is None:
+                outside += size
+                core |= b.element.core is not None
+                continue
+            have = held.setdefault(mark, [0, 0])
+            have[0] += size
+            inner = b.element.core
+            if inner is not None and mark in inner.marks:
+                have[1] = max(have[1], 2 if inner.tag == "main" else 1)
+        if held and not core:
+            most, whole = max(held, key=lambda x: held[x][0]), outside + sum(x[0] for x in held.values())
+            size, kind = held[most]
+            if size and (kind == 2 or kind == 1 and size > outside or 2 * size > whole and size > 4 * outside):
+                lifted.add(most)
+                continue
+        return [b for b in blocks if lifted.issuperset(b.element.marks)]
 
 
 def points(block: Block) -> float:

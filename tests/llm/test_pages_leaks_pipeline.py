@@ -31,6 +31,20 @@ def test_sections_of_one_article_and_siblings_are_kept():
     assert htmltext.main_text(deep) == "Deep text, still found, with commas."
 
 
+def test_marked_wrappers_of_the_article_are_kept():
+    text = "The article itself, with commas, and long enough to be one of its own."
+    body, side = f"<h1>Head</h1><p>{text}</p><p>{text}</p>", "<div class=sidebar><p>Another story, with commas, told beside it.</p></div>"
+    want = f"Head {text} {text}"
+    for name in ("layout has-sidebar", "no-sidebar", "with-banner", "main-content share-enabled"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert htmltext.main_text(f"<body><div class='{name}'>{side}{inner}</div></body>") == want
+            assert htmltext.main_text(f"<body><form id=f><div class='{name}'>{inner}{side}<nav>go</nav></div></form></body>") == want
+    comments = "".join(f"<article><p>Comment {i}, at length, with many words, and commas.</p></article>" for i in range(50))
+    assert htmltext.main_text(f"<main>{body}</main><section id=comments>{comments}</section>") == want
+    assert htmltext.main_text(f"<article>{body}<form>{text * 9}</form></article>") == want
+    assert htmltext.main_text(f"<div hidden>{body}</div>") == ""
+
+
 def test_extraction_of_rows(table):
     df = table([(1, PAGE, "old"), (2, None, None), (2, "", None)], "page_id long, html string, text string")
     out = htmltext.extract(df).orderBy("page_id").toPandas()
