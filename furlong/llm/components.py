@@ -1,42 +1,63 @@
-"""Connected components of a graph given as rows, by alternating large and small stars."""
+"""Connected components of a graph given as rows.
+
+A task contracts the edges it holds to stars around their least nodes, so afterwards a node hangs on
+others at most once for each task, however many edges it had. Edges are then dealt by their larger
+end and contracted again until every node hangs on one other: a forest. Nodes climb to their roots by
+doubling the step; a root's nodes are dealt over several tasks for that.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furlong.llm.spread import salt, salted, salts_in
 from furlong.llm.storage import stored
 
+EDGE = "a long, b long"
 
-def _canonical(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the least node that each is connected with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Each node hands the least of its neighbourhood to its larger (or smaller) neighbours."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    if not large:
-        both = both.where(F.col("v") < F.col("u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.withColumn("m", F.least("u", "m"))
-    met = both.join(least, "u")
-    if large:
-        return met.where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-    down = met.where(F.col("v") != F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b"))
-    return down.unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if held:
+        nodes, root = roots(*(np.concatenate(side) for side in zip(*held, strict=True)))
+        inner = nodes != root
+        for low in range(0, int(inner.sum()), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[inner][low : low + (1 << 16)]) for x in (nodes, root)], names=["a", "b"])
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, component) for every node of the pairs (a, b); a component is named by its least node.
 
-    Every step is a table in the shared folder, and only its size and a checksum reach the driver.
-    The number of steps grows with the logarithm of the nodes."""
-    now = stored(_canonical(pairs), "stars")
-    seen = None
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) for every node of the pairs (a, b) of two different nodes; a component is
+    named by its least node. Pairs with a null are no edges. Every step is a table in the shared
+    folder; only counts reach the driver."""
+    edges = pairs.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    forest = stored(edges.mapInArrow(_contract, EDGE), "forest")
+    while (forest.groupBy("a").count().agg(F.max("count")).first()[0] or 1) > 1:
+        forest = stored(forest.repartition("a").mapInArrow(_contract, EDGE), "forest")
     while True:
-        now = stored(_star(_star(now, True), False), "stars")
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first()
-        if sign == seen:
+        higher = forest.select(F.col("a").alias("b"), F.col("b").alias("root"))
+        climbs = stored(forest.groupBy("b").agg(salts_in("a").alias("_salts")).join(higher, "b"), "climbs")
+        if not climbs.head(1):
             break
-        seen = sign
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+        climbed = forest.withColumn("_salt", salt("a")).join(salted(climbs), ["b", "_salt"], "left")
+        forest = stored(climbed.select("a", F.coalesce("root", "b").alias("b")), "forest")
+    tops = forest.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

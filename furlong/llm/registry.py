@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import decontamination, htmltext, idfile, jaccard, langid, packing, pitmanyor, repeats, sharding, spotsigs
+from furlong.llm import decontamination, htmltext, idfile, jaccard, langid, merkle, packing, pitmanyor, repeats, sharding, spotsigs
 from furlong.llm.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,6 @@ def _ready(build: Query) -> Query:
     return run
 
 
-MODULES = [packing, langid, pitmanyor, repeats, sharding, idfile, jaccard, htmltext, decontamination, spotsigs]
+MODULES = [packing, langid, pitmanyor, repeats, sharding, idfile, jaccard, htmltext, decontamination, spotsigs, merkle]
 QUERIES = {name: _ready(build) for module in MODULES for name, build in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
