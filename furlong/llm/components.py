@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furlong.llm.spread import salt, salted, salts_in
+from furlong.llm.spread import look_up
 from furlong.llm.storage import stored
 
 EDGE = "a long, b long"
@@ -54,10 +54,10 @@ def components(pairs: DataFrame) -> DataFrame:
         forest = stored(forest.repartition("a").mapInArrow(_contract, EDGE), "forest")
     while True:
         higher = forest.select(F.col("a").alias("b"), F.col("b").alias("root"))
-        climbs = stored(forest.groupBy("b").agg(salts_in("a").alias("_salts")).join(higher, "b"), "climbs")
+        climbs = stored(forest.select("b").distinct().join(higher, "b"), "climbs")
         if not climbs.head(1):
             break
-        climbed = forest.withColumn("_salt", salt("a")).join(salted(climbs), ["b", "_salt"], "left")
+        climbed = look_up(forest, climbs, ["b"], ["a"], "left")
         forest = stored(climbed.select("a", F.coalesce("root", "b").alias("b")), "forest")
     tops = forest.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return forest.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)

@@ -29,6 +29,8 @@ from furlong.llm.storage import new_path
 
 #: Text of a block, and text behind one part of the keys, in bytes.
 BLOCK_BYTES, PART_BYTES = 12 << 20, 32 << 20
+#: Rows of a block; row numbers leave room for 1 << 20.
+BLOCK_ROWS = 1 << 18
 #: A block ends after a multiple of so many rows of its task.
 STEP_ROWS = 256
 #: Stands for a block in the row of a part's own numbers.
@@ -63,7 +65,7 @@ def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordB
             for out in work(Block(first + number, pa.Table.from_batches(held))):
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
-        seen = 0
+        seen = rows = 0
         for batch in batches:
             low = 0
             while low < batch.num_rows:
@@ -71,9 +73,10 @@ def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordB
                 low, seen = low + piece.num_rows, seen + piece.num_rows
                 held.append(piece)
                 size += pc.sum(pc.binary_length(piece.column(0))).as_py() or 0
-                if size >= block_bytes and seen % STEP_ROWS == 0:
+                rows += piece.num_rows
+                if (size >= block_bytes or rows >= BLOCK_ROWS) and seen % STEP_ROWS == 0:
                     yield from flush()
-                    number, held, size = number + 1, [], 0
+                    number, held, size, rows = number + 1, [], 0, 0
         if held:
             yield from flush()
 

@@ -20,12 +20,12 @@ def salt(*by: str | Column) -> Column:
 
 def salts_in(*by: str | Column) -> Column:
     """An aggregate: which salts the rows of a key have, as a bit mask."""
-    return F.bit_or(F.shiftleft(F.lit(1).cast("long"), salt(*by)))
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt(*by)))
 
 
 def salted(per_key: DataFrame, mask: str = "_salts", name: str = "_salt") -> DataFrame:
     """One row for each key and each of its salts."""
-    each = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.expr(f"{mask} is not null") & (F.shiftright(F.col(mask), s).bitwiseAND(F.lit(1)) == 1))
+    each = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.call_function("shiftright", F.col(mask), s).bitwiseAND(F.lit(1)) == 1)
     return per_key.withColumn(name, F.explode(each)).drop(mask)
 
 
@@ -39,6 +39,13 @@ def attach(rows: DataFrame, keys: list[str], by: list[str], having: Column | Non
     return rows.withColumn("_salt", salt(*by)).join(per_key, [*keys, "_salt"], how).drop("_salt")
 
 
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined with a table of one row for each key, dealt like in attach(): only entries that are
+    asked for are repeated, once for each salt that asks."""
+    asked = rows.groupBy(*keys).agg(salts_in(*by).alias("_salts")).join(table, keys)
+    return rows.withColumn("_salt", salt(*by)).join(salted(asked), [*keys, "_salt"], how).drop("_salt")
+
+
 def numbered(df: DataFrame, order: list[str], number: str = "g", name: str = "numbered") -> DataFrame:
     """Rows, stored in order, with gapless numbers from 0. Nulls come first; ties in all of `order`
     take any order. Rows are dealt by range over all columns of the order and then by their place in

@@ -39,8 +39,9 @@ def ship(spark: SparkSession) -> None:
     """Prepare a session: make this package importable in the Python workers, once per application,
     also where it is not installed on them, and bound their batches."""
     # Texts are long: a batch of this many rows keeps workers and their channels small.
-    if spark.conf.get(BATCH_ROWS[0]) == "10000":
-        spark.conf.set(*BATCH_ROWS)
+    for name, default, value in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if _shipped.get("to") == context.applicationId:
         return
@@ -54,5 +55,5 @@ def ship(spark: SparkSession) -> None:
 
 
 _shipped: dict[str, str] = {}
-#: Set where the session has Spark's own default.
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+#: Rows and bytes of a batch, set where the session has Spark's own default.
+BATCHES = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")]
