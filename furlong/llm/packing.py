@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from furlong.llm.sidetable import side_table
 from furlong.llm.storage import stored
 from furlong.llm.tokens import encode_column
 
@@ -203,6 +204,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> Da
     return numbered.where(~alone).join(placed, "item").unionByName(whole).drop("item")
 
 
+def pack_with_ids(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
+    """Like pack(), for pieces that carry `ids`: the ids are written once and never shuffled; the task
+    that reads them finds their places in a table of its own range of pieces."""
+    numbered = stored(pieces.drop("at", "sequence_id", "offset").withColumn("at", F.monotonically_increasing_id()), "ids")
+    table = side_table(pack(numbered.select(key, "at", "length"), capacity, key).select("at", "sequence_id", "offset"), "at", "places")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = table.between(batch.column("at")[0].as_py(), batch.column("at")[-1].as_py())
+                if found["at"].to_pylist() != batch.column("at").to_pylist():
+                    raise RuntimeError("pieces are not read in the order in which they were numbered")
+                for name in ("sequence_id", "offset"):
+                    batch = batch.append_column(name, found[name].combine_chunks())
+                yield batch
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
+    return numbered.mapInArrow(place, f"{columns}, sequence_id long, offset long").drop("at")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The training sequences themselves: (sequence_id, length, ids), pieces in order of offset.
     `packed` carries ids; a sequence holds at most `capacity` of them."""

@@ -93,7 +93,7 @@ class Queue:
 PASSED = "kind int, depth long, conv long, shard long, band long, leaves long, saved long"
 
 
-def _forward(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
+def _forward(batches: Iterator[pa.RecordBatch], room: int, band_depths: int) -> Iterator[pa.RecordBatch]:
     """Walk shards in reverse level order. Rows: shard, band, depth (negative), conv, kind (0: a message
     from another shard, 1: the node), leaves, saved, parent (smallest member) and the parent's shard.
     Yields what each node received or has of its own (kind 1), and messages to other shards (kind 0)."""
@@ -116,22 +116,23 @@ def _forward(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.Record
             if parent is None:
                 continue
             over = -depth - 1
-            if parent_shard == shard and over // BAND == band:
+            if parent_shard == shard and over // band_depths == band:
                 queue.push((depth + 1, parent, leaves, saved))
             else:
-                out.append((0, over, parent, parent_shard, over // BAND, leaves, saved))
+                out.append((0, over, parent, parent_shard, over // band_depths, leaves, saved))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.int64()] * 6], strict=True)], names=[x.split()[0] for x in PASSED.split(", ")])
 
 
-def subtree_totals(nodes: DataFrame, room: int = QUEUE) -> DataFrame:
+def subtree_totals(nodes: DataFrame, room: int = QUEUE, band_depths: int | None = None) -> DataFrame:
     """(depth, conv, leaves, saved) summed over the subtree of every node.
 
     nodes: depth, conv (together the name), shard, leaves and saved of the node itself, and parent
     (the conv of its parent, one level higher; null for the root) with parent_shard. Parts of one
     total may come in several rows; the caller adds them up."""
+    band_depths = band_depths or BAND
     order = ["shard", "band", "level", "conv", "kind"]
-    own = nodes.select("shard", F.floor(F.col("depth") / BAND).alias("band"), (-F.col("depth")).alias("level"), "conv", F.lit(1).alias("kind"), "leaves", "saved", "parent", "parent_shard")
+    own = nodes.select("shard", F.floor(F.col("depth") / band_depths).alias("band"), (-F.col("depth")).alias("level"), "conv", F.lit(1).alias("kind"), "leaves", "saved", "parent", "parent_shard")
     waiting, passed = None, []
     while True:
         todo = own
@@ -141,7 +142,7 @@ def subtree_totals(nodes: DataFrame, room: int = QUEUE) -> DataFrame:
             later = own.join(shards, ["shard", "band"], "left_semi").withColumns({"leaves": F.lit(0).cast("long"), "saved": F.lit(0).cast("long")})
             todo = later.unionByName(waiting.select("shard", "band", (-F.col("depth")).alias("level"), "conv", F.lit(0).alias("kind"), "leaves", "saved", none.alias("parent"), none.alias("parent_shard")))
         walk = todo.repartition("shard", "band").sortWithinPartitions(*order).select(*order, "leaves", "saved", "parent", "parent_shard")
-        out = stored(walk.mapInArrow(lambda batches: _forward(batches, room), PASSED), "passed")
+        out = stored(walk.mapInArrow(lambda batches: _forward(batches, room, band_depths), PASSED), "passed")
         passed.append(out.where("kind = 1").select("depth", "conv", "leaves", "saved"))
         waiting = stored(out.where("kind = 0").groupBy("shard", "band", "depth", "conv").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")), "waiting")
         if not waiting.head(1):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furlong.llm import bottomk, decontamination, htmltext, idfile, jaccard, langid, merkle, packing, pitmanyor, prefixtrie, repeats, sharding, spotsigs
+from furlong.llm import bottomk, decontamination, htmltext, idfile, jaccard, langid, merkle, oracles, packing, pitmanyor, prefixtrie, repeats, sharding, spotsigs
 from furlong.llm.storage import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,4 +24,4 @@ def _ready(build: Query) -> Query:
 
 MODULES = [packing, langid, pitmanyor, repeats, sharding, idfile, jaccard, htmltext, decontamination, spotsigs, bottomk, prefixtrie, merkle]
 QUERIES = {name: _ready(build) for module in MODULES for name, build in module.QUERIES.items()}
-ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
+ORACLES = oracles.ORACLES
