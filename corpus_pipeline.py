@@ -36,19 +36,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay; without any
+    benchmark item all stay."""
     ship(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.clean(docs.select(*COLUMNS), items)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents, cut and packed into sequences; nothing is dropped."""
+    """The token ids of all documents, cut and packed into sequences; nothing is dropped. A null text
+    is empty and gives its end id; a table without rows gives none."""
     import public_tokenizers
 
     ship(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "sequence_id", "offset", "ids")
+    return packing.pack_with_ids(pieces).select("doc_id", "piece", "start", "length", "sequence_id", "offset", "ids")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
