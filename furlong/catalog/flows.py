@@ -33,7 +33,7 @@ def upsert_latest(spark, d):
     rows = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
     tables.upsert(rows, path, ["o_orderkey"])
     tables.upsert(rows.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), path, ["o_orderkey"])
-    return spark.read.parquet(path)
+    return tables.read(spark, path)
 
 
 @query("insert_ignore", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -43,7 +43,7 @@ def insert_ignore(spark, d):
     order = [F.col("o_orderkey").asc()]
     tables.insert_ignore(rows, path, ["o_custkey"], order)
     tables.insert_ignore(rows.withColumn("o_orderkey", F.col("o_orderkey") + 1), path, ["o_custkey"], order)
-    return spark.read.parquet(path)
+    return tables.read(spark, path)
 
 
 @query(
@@ -61,7 +61,7 @@ def coalesce_upsert(spark, d):
     )
     tables.coalesce_upsert(old, path, ["o_orderkey"], ["keep_new"], ["keep_first"])
     tables.coalesce_upsert(new, path, ["o_orderkey"], ["keep_new"], ["keep_first"])
-    return spark.read.parquet(path)
+    return tables.read(spark, path)
 
 
 @query(
@@ -71,7 +71,10 @@ def coalesce_upsert(spark, d):
 def replace_by_key(spark, d):
     old = load(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     new = load(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") + 1000000).alias("v"))
-    return tables.replaced(old, new, ["k"], [F.col("v").desc()])
+    path = _path(spark, d, "replace")
+    for batch in (old, new):
+        tables.replace_by_key(batch, path, ["k"], [F.col("v").desc()])
+    return tables.read(spark, path)
 
 
 @query("partition_replace", "SELECT o_orderpriority AS p, o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE o_totalprice END AS price FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND o_orderkey % 2 = 0)")
@@ -142,7 +145,7 @@ def archive_filter(spark, d):
     path = _path(spark, d, "archive")
     for _ in range(2):
         tables.insert_ignore(_orders(spark, d), path, ["o_orderkey"])
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return tables.read(spark, path).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- streaming ---------------------------------------------------------------------------
@@ -163,12 +166,14 @@ def stream_dedup_ingest(spark, d):
     "SELECT user_id, max(ts) FILTER (hour(ts) < 18) AS captured, arg_max(value, ts) FILTER (hour(ts) < 18) AS value, count(*) FILTER (hour(ts) >= 18) AS late_rows FROM events GROUP BY user_id",
 )
 def stream_latest_state(spark, d):
-    """Latest value before 18:00 per user; later rows are kept only as a count."""
+    """Latest value before 18:00 per user; later rows are kept only as a count. State lives as long as
+    the day's watermark; the changes go into a table in parts by day."""
     stream = ingest.read_table(spark, d, "events").withColumn("start", F.date_trunc("day", "ts") + F.expr("INTERVAL 18 HOUR"))
     flagged = ingest.with_late_flag(stream, "ts", "start")
     state = ingest.latest_state(flagged, ["user_id"], "ts", ["value"])
     path = _path(spark, d, "state")
-    return ingest.drain(state, f"{path}/data", f"{path}/checkpoint", "complete").withColumnRenamed("ts", "captured")
+    days = ingest.drain(state, f"{path}/data", f"{path}/checkpoint", "update", ["user_id", "span_start"], F.date_format("span_start", "yyyy-MM-dd"))
+    return days.groupBy("user_id").agg(F.max("ts").alias("captured"), F.max_by("value", "ts").alias("value"), F.sum("late_rows").alias("late_rows"))
 
 
 @query(
@@ -194,7 +199,8 @@ def stream_window_accuracy(spark, d):
     stream = ingest.read_table(spark, d, "events").withColumn("hit", F.col("event_type") == "purchase")
     out = ingest.windowed_accuracy(stream, "ts", "hit", "1 day")
     path = _path(spark, d, "window")
-    return ingest.drain(out, f"{path}/data", f"{path}/checkpoint", "complete").select("window_start", "n", "hits")
+    month = F.date_format("window_start", "yyyy-MM")
+    return ingest.drain(out, f"{path}/data", f"{path}/checkpoint", "update", ["window_start"], month).select("window_start", "n", "hits")
 
 
 @query(
@@ -205,7 +211,8 @@ def stream_sliding_accuracy(spark, d):
     stream = ingest.read_table(spark, d, "events").withColumn("hit", F.col("event_type") == "purchase")
     out = ingest.windowed_accuracy(stream, "ts", "hit", "7 days", "1 day")
     path = _path(spark, d, "sliding")
-    return ingest.drain(out, f"{path}/data", f"{path}/checkpoint", "complete").select("window_start", "n", "hits")
+    month = F.date_format("window_start", "yyyy-MM")
+    return ingest.drain(out, f"{path}/data", f"{path}/checkpoint", "update", ["window_start"], month).select("window_start", "n", "hits")
 
 
 @query("stream_incremental_materialise", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY user_id")
@@ -215,22 +222,39 @@ def stream_incremental_materialise(spark, d):
     stream = ingest.read_table(spark, d, "events").select("event_id", "user_id", "value")
 
     def build(batch):
-        tables.insert_ignore(batch, f"{path}/log", ["event_id"])
-        log = batch.sparkSession.read.parquet(f"{path}/log").join(batch.select("user_id").distinct(), "user_id", "left_semi")
-        return log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-
-    ingest.rebuild_batches(stream, f"{path}/table", build, "user_id", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/table")
-
-
-@query("stream_lifecycle")
+        # The log is laid out by user, so a batch reads the parts of its users only.
+        log = tables.KeyedTable(batch.sparkSession, f"{path}/log", ["event_id"], F.pmod(F.xxhash64("user_id"), F.lit(tables.PARTS)))
+        log.insert_ignore(batch)
+        mine = log.rows_of(log.touched(batch)).join(batch.select("user_id").distinct(), "user_id", "left_semi")
+        return mine.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+    ingest.rebuild_batches(stream, f"{path}/table", build, ["user_id"], f"{path}/checkpoint")
+    return tables.read(spark, f"{path}/table")
+
+
+LIFECYCLE_SQL = """
+WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS race_id, date_trunc('day', ts) + INTERVAL 12 HOUR AS start, user_id % 50 <> 0 AS supported,
+  CASE event_type WHEN 'view' THEN 'prediction' WHEN 'purchase' THEN 'result' ELSE 'seen' END AS kind, date_trunc('millisecond', ts) AS moment FROM events),
+r AS (SELECT race_id, start, supported, min(moment) AS begun FROM e GROUP BY ALL),
+t AS (SELECT race_id, start, supported, moment AS t FROM e UNION
+  SELECT race_id, start, supported, start + to_seconds(m) FROM r, (VALUES (-1800), (-900), (-120), (0), (120)) AS marks(m) WHERE start + to_seconds(m) > begun),
+f AS (SELECT t.race_id, t.start, t.supported, t.t, bool_or(kind = 'prediction' AND moment >= t.start - INTERVAL 15 MINUTE AND moment < t.start) AS final, bool_or(kind = 'result') AS result
+  FROM t JOIN e ON e.race_id = t.race_id AND e.moment <= t.t GROUP BY ALL),
+s AS (SELECT race_id, t, CASE WHEN NOT supported THEN 'SOURCE_UNSUPPORTED' WHEN result THEN 'RESULT_CAPTURED' WHEN final AND t >= start THEN 'RESULT_PENDING' WHEN final THEN 'FINAL_CAPTURED'
+  WHEN t >= start + INTERVAL 2 MINUTE THEN 'FAILED' WHEN t >= start THEN 'POST_START_RETRY' WHEN t >= start - INTERVAL 2 MINUTE THEN 'FINAL_CAPTURING'
+  WHEN t >= start - INTERVAL 15 MINUTE THEN 'CAPTURING' WHEN t >= start - INTERVAL 30 MINUTE THEN 'PRE_WINDOW' ELSE 'WAITING' END AS state FROM f
+  WHERE t <= (SELECT max(moment) - INTERVAL 1 MINUTE FROM e))
+SELECT race_id, state, t AS "at" FROM (SELECT *, lag(state) OVER (PARTITION BY race_id ORDER BY t) AS before FROM s) WHERE state IS DISTINCT FROM before"""
+
+
+@query("stream_lifecycle", LIFECYCLE_SQL)
 def stream_lifecycle(spark, d):
     """State changes per user-day race from seen, prediction and result events."""
     start = F.date_trunc("day", "ts") + F.expr("INTERVAL 12 HOUR")
     kind = F.when(F.col("event_type") == "view", "prediction").when(F.col("event_type") == "purchase", "result").otherwise("seen")
     events = ingest.read_table(spark, d, "events").select(
         F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("race_id"),
-        start.alias("race_start_at"), kind.alias("kind"), F.col("ts").alias("at"),
+        start.alias("race_start_at"), kind.alias("kind"), F.col("ts").alias("at"), (F.col("user_id") % 50 != 0).alias("supported"),
     )
     path = _path(spark, d, "lifecycle")
     return ingest.drain(lifecycle.transitions(events), f"{path}/data", f"{path}/checkpoint")

@@ -1,12 +1,15 @@
 """Writes onto Parquet tables: append-ignore, upserts, partition replace, rebuild, sync.
 
-A table path has one writer at a time. Rewrites go to a new folder beside the table and are
-swapped in by rename, so a failed write never leaves a half table behind.
+A table path has one writer at a time. Full rewrites go to a new folder beside the table and are
+swapped in by rename, so a failed write never leaves a half table behind. Tables with keys are
+laid out in parts, each a folder, by the key alone; a batch reads and replaces only the parts
+that its keys fall into.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(Path(path))
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A table without the column that names the part of a keyed one."""
+    return spark.read.parquet(path).drop(PART)
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
+    return read(spark, path) if exists(spark, path) else None
 
 
 def swap_in(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -50,12 +58,6 @@ def new_rows(new: DataFrame, existing: DataFrame | None, keys: list[str], order:
     return first if existing is None else first.join(existing.select(*keys), keys, "left_anti")
 
 
-def insert_ignore(new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None) -> None:
-    """Append rows with unseen keys; rows already present win."""
-    existing = read_or_none(new.sparkSession, path)
-    new_rows(new, existing, keys, order).write.mode("append").option("compression", "zstd").parquet(path)
-
-
 def upserted(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old rows of the same key; other rows stay."""
     kept = existing.join(new.select(*keys), keys, "left_anti")
@@ -90,14 +92,78 @@ def replaced(existing: DataFrame, new: DataFrame, keys: list[str], order: list[C
     return latest.latest_by(existing.unionByName(new, allowMissingColumns=True), keys, order)
 
 
-def upsert(new: DataFrame, path: str, keys: list[str]) -> None:
-    existing = read_or_none(new.sparkSession, path)
-    swap_in(new if existing is None else upserted(existing, new, keys), path)
+#: Parts of a table whose caller names none. A table keeps the number it was made with.
+PARTS = 16
+PART = "_part_of_key"
+
+
+class KeyedTable:
+    """A table of rows with a key, laid out in parts by the key.
+
+    ``part`` is an expression of key columns only, such as the day in the key, so that a batch of one
+    day touches one part; without it the key is hashed into ``parts`` parts. Writes touch no
+    file of another part, and rows of a part never meet rows of another one in a join.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], part: Column | None = None, parts: int = PARTS):
+        self.spark, self.path, self.keys = spark, path, keys
+        self.part = (F.pmod(F.xxhash64(*keys), F.lit(parts)) if part is None else part).cast("string")
+
+    def _stored(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path).withColumn(PART, F.col(PART).cast("string")) if exists(self.spark, self.path) else None
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop(PART)
+
+    def touched(self, new: DataFrame) -> list[str | None]:
+        """The parts a batch falls into: one value a part, never one a row."""
+        return [r[0] for r in new.select(self.part.alias(PART)).distinct().collect()]
+
+    def rows_of(self, parts: list[str | None]) -> DataFrame | None:
+        """The stored rows of some parts; other folders are not listed as inputs of the scan."""
+        table = self._stored()
+        if table is None:
+            return None
+        known = [p for p in parts if p is not None]
+        inside = F.col(PART).isin(known)
+        return table.where(inside | F.col(PART).isNull() if None in parts else inside).drop(PART)
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        rows = rows.withColumn(PART, self.part)
+        # One task a part and writer of the shuffle: few files a part, and a large part is still
+        # split by rows if AQE finds it large.
+        rows = rows.hint("rebalance", PART)
+        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        writer.partitionBy(PART).parquet(self.path)
+
+    def insert_ignore(self, new: DataFrame, order: list[Column] | None = None) -> None:
+        """Append rows with unseen keys; rows already present win. No stored file changes."""
+        self._write(new_rows(new, self.rows_of(self.touched(new)), self.keys, order), "append")
+
+    def merge(self, new: DataFrame, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replace the touched parts by ``how(stored rows of them, new)``."""
+        existing = self.rows_of(self.touched(new))
+        self._write(new if existing is None else how(existing, new), "overwrite")
+
+
+def insert_ignore(new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None, part: Column | None = None) -> None:
+    """Append rows with unseen keys; rows already present win."""
+    KeyedTable(new.sparkSession, path, keys, part).insert_ignore(new, order)
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], part: Column | None = None) -> None:
+    """New rows replace old rows of the same key; other parts of the table are not read."""
+    KeyedTable(new.sparkSession, path, keys, part).merge(new, lambda old, fresh: upserted(old, fresh, keys))
+
+
+def coalesce_upsert(new: DataFrame, path: str, keys: list[str], keep_new: list[str], keep_first: list[str], part: Column | None = None) -> None:
+    KeyedTable(new.sparkSession, path, keys, part).merge(new, lambda old, fresh: coalesced(old, fresh, keys, keep_new, keep_first))
 
 
-def coalesce_upsert(new: DataFrame, path: str, keys: list[str], keep_new: list[str], keep_first: list[str]) -> None:
-    existing = read_or_none(new.sparkSession, path)
-    swap_in(new if existing is None else coalesced(existing, new, keys, keep_new, keep_first), path)
+def replace_by_key(new: DataFrame, path: str, keys: list[str], order: list[Column], part: Column | None = None) -> None:
+    """Keep one row a key, the first by ``order`` among the stored and the new ones."""
+    table = KeyedTable(new.sparkSession, path, keys, part)
+    table.merge(latest.latest_by(new, keys, order), lambda old, fresh: replaced(old, fresh, keys, order))
 
 
 def replace_partitions(new: DataFrame, path: str, partition: str) -> None:

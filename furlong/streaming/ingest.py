@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,19 @@ def with_late_flag(stream: DataFrame, captured: str, start: str) -> DataFrame:
     return stream.withColumn("late", F.col(captured) >= F.col(start))
 
 
-def latest_state(stream: DataFrame, keys: list[str], captured: str, values: list[str], eligible: str = "NOT late") -> DataFrame:
-    """Latest eligible value per key as a running aggregate (update or complete mode)."""
-    return stream.groupBy(*keys).agg(
+def latest_state(
+    stream: DataFrame, keys: list[str], captured: str, values: list[str], eligible: str = "NOT late",
+    span: str = "1 day", delay: str = CAPTURE_DELAY,
+) -> DataFrame:
+    """Latest eligible value per key and span of event time, as changes (update mode).
+
+    A span's state is dropped once the watermark has passed its end, so state follows the open
+    spans, not the keys ever seen. Rows behind the watermark are not taken; see too_late()."""
+    window = F.window(captured, span)
+    return stream.withWatermark(captured, delay).groupBy(*keys, window.alias("w")).agg(
         F.max_by(F.struct(captured, *values), F.when(F.expr(eligible), F.struct(captured, *values))).alias("latest"),
         F.count_if(~F.expr(eligible)).alias("late_rows"),
-    ).select(*keys, "latest.*", "late_rows")
+    ).select(*keys, F.col("w.start").alias("span_start"), "latest.*", "late_rows")
 
 
 def matched(
@@ -69,6 +76,33 @@ def windowed_accuracy(stream: DataFrame, time: str, hit: str, size: str, slide:
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "hits", (F.col("hits") / F.col("n")).alias("accuracy"))
 
 
+def too_late(batch: DataFrame, time: str, newest: Column, delay: str = CAPTURE_DELAY) -> DataFrame:
+    """Rows of a batch that state no longer takes: older than the delay before ``newest``, the newest
+    time of the batches before. They go to a side table instead of vanishing."""
+    return batch.filter(F.col(time) <= newest - F.expr(f"INTERVAL {delay}"))
+
+
+def with_side_table(
+    stream: DataFrame, time: str, path: str, checkpoint: str, delay: str = CAPTURE_DELAY,
+) -> DataFrame:
+    """Drain what is there and return the rows that a watermark of ``delay`` over the batches so far
+    leaves behind. The newest time is one row a batch, kept beside the side table, so a restart goes on."""
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = tables.read_or_none(spark, f"{path}/seen")
+        before = None if seen is None else seen.filter(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        if before is not None:
+            late = too_late(batch, time, F.lit(before), delay).withColumn("batch", F.lit(number))
+            tables.replace_partitions(late, f"{path}/late", "batch")
+        now = batch.agg(F.max(time).alias("newest")).withColumn("batch", F.lit(number))
+        tables.replace_partitions(now, f"{path}/seen", "batch")
+
+    run(stream, write, checkpoint)
+    spark = stream.sparkSession
+    late = tables.read_or_none(spark, f"{path}/late")
+    return spark.createDataFrame([], stream.schema) if late is None else late.drop("batch")
+
+
 def append_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> None:
     """Drain what is there, appending only unseen keys. A replayed batch adds nothing."""
     def write(batch: DataFrame, _: int) -> None:
@@ -77,12 +111,11 @@ def append_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: st
     run(stream, write, checkpoint)
 
 
-def rebuild_batches(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], key: str, checkpoint: str) -> None:
-    """Drain what is there; every batch replaces the rows of the keys it touches."""
+def rebuild_batches(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], keys: list[str], checkpoint: str, part: Column | None = None) -> None:
+    """Drain what is there; every batch replaces the rows of the keys it touches, and rewrites only
+    the parts of the table they fall into."""
     def write(batch: DataFrame, _: int) -> None:
-        fresh = build(batch)
-        existing = tables.read_or_none(batch.sparkSession, path)
-        tables.swap_in(fresh if existing is None else tables.upserted(existing, fresh, [key]), path)
+        tables.upsert(build(batch), path, keys, part)
 
     run(stream, write, checkpoint)
 
@@ -95,11 +128,13 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def drain(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None, part: Column | None = None,
+) -> DataFrame:
     """Process everything available and return what was written.
 
-    Append mode writes files directly; other modes keep the newest version of the result.
-    """
+    Append mode writes files directly. Update mode hands over the rows that changed, which replace
+    those of the same ``keys``; only the parts of the table that hold them are rewritten."""
     spark = stream.sparkSession
     if mode == "append":
         query = (
@@ -107,6 +142,8 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    else:
-        run(stream, lambda batch, _: tables.swap_in(batch, path), checkpoint, mode)
-    return spark.read.schema(stream.schema).parquet(path)
+        return spark.read.schema(stream.schema).parquet(path)
+    if not keys:
+        raise ValueError("update mode needs the keys of the result")
+    run(stream, lambda batch, _: tables.upsert(batch, path, keys, part), checkpoint, mode)
+    return tables.read(spark, path)

@@ -1,4 +1,10 @@
-"""Lifecycle of each race as a keyed state machine driven by event-time timers."""
+"""Lifecycle of each race as a keyed state machine driven by event-time timers.
+
+Events wait in the state of their race until the watermark has passed them, so they are applied in
+event time whatever files or batches bring them. Every mark before and after the start is a timer
+of its own: when the watermark jumps over several, each is taken at its own time. A race is closed by
+its result and keeps that flag until it expires, a fixed time after its start, when all of its state goes.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +18,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from furlong.plans.lifecycle import CAPTURE, EMERGENCY, POST_START, PRE_WINDOW
 
 OUTPUT = "race_id string, state string, at timestamp"
-STATE = "start_ms long, final boolean, result boolean, last string"
+#: waiting: events not yet reached by the watermark, as "time:kind" joined by commas.
+STATE = "start_ms long, supported boolean, final boolean, result boolean, last string, clock long, waiting string"
+#: Seconds after the start at which a race is forgotten; later events are not of it.
+EXPIRY = 86_400
 # Seconds before (positive) or after the start at which the state may change by time alone.
 MARKS = [PRE_WINDOW, CAPTURE, EMERGENCY, 0, -POST_START]
 
 
-def classify(now_ms: int, start_ms: int, final: bool, result: bool) -> str:
+def classify(now_ms: int, start_ms: int, final: bool, result: bool, supported: bool = True) -> str:
     ahead = (start_ms - now_ms) / 1000.0
+    if not supported:
+        return "SOURCE_UNSUPPORTED"
     if result:
         return "RESULT_CAPTURED"
     if final:
@@ -36,47 +47,75 @@ def classify(now_ms: int, start_ms: int, final: bool, result: bool) -> str:
     return "WAITING"
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    start_ms, final, result, last = state.get if state.exists else (None, False, False, None)
-    out = []
+def advance(state: tuple, events: list[tuple[int, str]], until_ms: int) -> tuple[tuple, list[tuple[int, str]]]:
+    """A race's state after all events and timers up to ``until_ms``, and its changes (time, state).
 
-    def emit(at_ms: int) -> None:
-        nonlocal last
-        current = classify(at_ms, start_ms, final, result)
+    The race begins with its first event; timers before it do not count."""
+    start, supported, final, result, last, clock, waiting = state
+    held = sorted([*events, *((int(t), k) for t, k in (x.split(":") for x in waiting.split(",") if x))])
+    ripe = [(t, k) for t, k in held if t <= until_ms]
+    begun = clock is not None or bool(ripe)
+    if begun:
+        first = clock if clock is not None else ripe[0][0]
+        timers = [start - m * 1000 for m in MARKS]
+        instants = sorted({t for t, _ in ripe} | {t for t in timers if first < t <= until_ms})
+    else:
+        instants = []
+    out, i = [], 0
+    for now in instants:
+        while i < len(ripe) and ripe[i][0] <= now:
+            at, kind = ripe[i]
+            final = final or (kind == "prediction" and start - CAPTURE * 1000 <= at < start)
+            result = result or kind == "result"
+            i += 1
+        current = classify(now, start, final, result, supported)
         if current != last:
-            out.append((str(key[0]), current, pd.Timestamp(at_ms, unit="ms")))
+            out.append((now, current))
             last = current
+    clock = until_ms if begun else None
+    left = ",".join(f"{t}:{k}" for t, k in held if t > until_ms)
+    return (start, supported, final, result, last, clock, left), out
 
-    if state.hasTimedOut:
-        emit(max(state.getCurrentWatermarkMs(), 0))
-    else:
-        rows = pd.concat(list(batches)).sort_values(["at", "kind"])
-        for row in rows.itertuples():
-            if start_ms is None:
-                start_ms = int(row.race_start_at.timestamp() * 1000)
-            at_ms = int(row.at.timestamp() * 1000)
-            if row.kind == "prediction" and start_ms - CAPTURE * 1000 <= at_ms < start_ms:
-                final = True
-            elif row.kind == "result":
-                result = True
-            emit(at_ms)
-    state.update((start_ms, final, result, last))
-    watermark = state.getCurrentWatermarkMs()
-    ahead = [start_ms - m * 1000 for m in MARKS if start_ms - m * 1000 > watermark]
-    if result:
+
+def next_timer(state: tuple, now_ms: int) -> int:
+    """The next instant at which the race may change or expire."""
+    start, *_, waiting = state
+    times = [start - m * 1000 for m in MARKS] + [start + EXPIRY * 1000] + [int(x.split(":")[0]) for x in waiting.split(",") if x]
+    return min(t for t in [*times, start + EXPIRY * 1000] if t > now_ms)
+
+
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    now = max(state.getCurrentWatermarkMs(), 0)
+    held = state.get if state.exists else None
+    events: list[tuple[int, str]] = []
+    if not state.hasTimedOut:
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held is None:
+                held = (int(batch["start_ms"].iloc[0]), bool(batch["supported"].iloc[0]), False, False, None, None, "")
+            events += zip(batch["at_ms"].tolist(), batch["kind"].tolist(), strict=True)
+    held, out = advance(tuple(held), events, now)
+    if now >= held[0] + EXPIRY * 1000:
         state.remove()
-    elif ahead:
-        state.setTimeoutTimestamp(min(ahead))
-    yield pd.DataFrame(out, columns=["race_id", "state", "at"])
+    else:
+        state.update(held)
+        state.setTimeoutTimestamp(next_timer(held, now))
+    yield pd.DataFrame({"race_id": [str(key[0])] * len(out), "state": [s for _, s in out], "at": pd.to_datetime([t for t, _ in out], unit="ms")})
 
 
 def transitions(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """State changes per race from events (race_id, race_start_at, kind, at).
+    """State changes per race from events (race_id, race_start_at, kind, at[, supported]).
 
-    ``kind`` is seen, prediction or result. A race keeps four values of state, so memory grows
-    with open races only; a closed race is dropped.
-    """
-    keyed = events.withColumn("race_id", F.col("race_id").cast("string")).withWatermark("at", delay)
+    ``kind`` is seen, prediction or result; without ``supported`` every race is. Changes come once
+    the watermark, ``delay`` behind the newest event, has passed them. Events after a race's expiry
+    are dropped. State holds open races and those of the last day."""
+    supported = F.col("supported") if "supported" in events.columns else F.lit(True)
+    start = F.unix_millis("race_start_at")
+    keyed = events.filter(F.unix_millis("at") < start + EXPIRY * 1000).select(
+        F.col("race_id").cast("string").alias("race_id"), start.alias("start_ms"), F.coalesce(supported, F.lit(False)).alias("supported"),
+        "kind", "at", F.unix_millis("at").alias("at_ms"),
+    ).withWatermark("at", delay)
     return keyed.groupBy("race_id").applyInPandasWithState(
         _step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
