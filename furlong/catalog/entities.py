@@ -186,6 +186,63 @@ def exact_dictionary_match(spark, d):
     return resolve.dictionary_match(docs, names, "doc_id", "body", "name").select("doc_id", "name")
 
 
+_LETTERS = "'0123456789', 'ABCDEFGHIJ'"
+_CODED = "'AT' || translate(lpad(CAST(({k} * 7919) % 1000003 AS VARCHAR), 6, '0'), " + _LETTERS + ") || ' ' || translate(lpad(CAST(({k} * 104729) % 1000003 AS VARCHAR), 6, '0'), " + _LETTERS + ")"
+NAME_CHAIN_SQL = f"""
+WITH n AS (SELECT DISTINCT {_CODED.format(k="c_custkey")} AS name FROM customer),
+e AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, {_CODED.format(k="o_custkey")} AS w, {_CODED.format(k="(o_custkey + 1)")} AS w2 FROM orders),
+x AS (SELECT id, k, w, CASE k WHEN 0 THEN w WHEN 1 THEN w || ' KG DB' WHEN 2 THEN substr(w, 1, 13) WHEN 3 THEN substr(w, 1, 5) || substr(w, 7) WHEN 4 THEN '' ELSE 'ZZZZ QQQ' END AS nm,
+  CASE WHEN k = 4 THEN 'ONCE ' || w || ' AND ' || w2 || ' RAN' ELSE 'NOTHING HERE' END AS body FROM e),
+d AS (SELECT DISTINCT nm FROM x WHERE nm <> ''),
+c AS (SELECT nm, arg_min(name, (contains(name, nm)::INT, CASE WHEN contains(nm, name) THEN -length(name) ELSE length(name) END, name)) AS name FROM d JOIN n ON contains(nm, name) OR contains(name, nm) GROUP BY nm),
+t AS (SELECT id, arg_min(name, (-length(name), name)) AS name FROM (SELECT id, unnest([w, w2]) AS name FROM e WHERE k = 4) JOIN n USING (name) GROUP BY id)
+SELECT x.id, CASE WHEN n.name IS NOT NULL THEN n.name WHEN c.name IS NOT NULL THEN c.name WHEN x.k = 3 THEN o.name ELSE t.name END AS matched_name,
+  CASE WHEN n.name IS NOT NULL THEN 'exact' WHEN c.name IS NOT NULL THEN 'contained' WHEN x.k = 3 AND o.name IS NOT NULL THEN 'similar' WHEN t.name IS NOT NULL THEN 'in_text' ELSE 'none' END AS match_step,
+  round(CASE WHEN n.name IS NOT NULL THEN 1.0 WHEN c.name IS NOT NULL THEN 0.95 WHEN x.k = 3 AND o.name IS NOT NULL THEN 28.0 / 29.0 WHEN t.name IS NOT NULL THEN 0.95 ELSE 0.0 END, 6)::DOUBLE AS match_confidence
+FROM x LEFT JOIN n ON n.name = x.nm LEFT JOIN c ON c.nm = x.nm LEFT JOIN n o ON o.name = x.w LEFT JOIN t ON t.id = x.id"""
+
+
+def _coded(k):
+    part = lambda m: F.translate(F.lpad(((k * m) % 1000003).cast("string"), 6, "0"), "0123456789", "ABCDEFGHIJ")
+    return F.concat(F.lit("AT"), part(7919), F.lit(" "), part(104729))
+
+
+@query("name_chain", NAME_CHAIN_SQL)
+def name_chain(spark, d):
+    """Entrant of each report event: exact, contained, similar, then named in the text."""
+    names = _customers(spark, d).select(_coded(F.col("c_custkey")).alias("name"))
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 6).alias("k"), _coded(F.col("o_custkey")).alias("w"), _coded(F.col("o_custkey") + 1).alias("w2"))
+    k, w = F.col("k"), F.col("w")
+    said = (
+        F.when(k == 0, w).when(k == 1, F.concat(w, F.lit(" KG DB"))).when(k == 2, F.substring(w, 1, 13))
+        .when(k == 3, F.concat(F.substring(w, 1, 5), F.expr("substring(w, 7)"))).when(k == 4, "").otherwise("ZZZZ QQQ")
+    )
+    body = F.when(k == 4, F.concat(F.lit("ONCE "), w, F.lit(" AND "), F.col("w2"), F.lit(" RAN"))).otherwise("NOTHING HERE")
+    events = o.select("id", said.alias("nm"), body.alias("body"))
+    return resolve.name_chain(events, names, "id", "nm", "body", "name").select("id", "matched_name", "match_step", r6("match_confidence"))
+
+
+COMPOSITE_SQL = f"""
+WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS k, {_CODED.format(k="c_custkey")} AS w, {_CODED.format(k="(c_custkey % 97)")} AS f, {_CODED.format(k="(c_custkey % 89)")} AS m FROM customer)
+SELECT id AS left_id, id AS right_id, CASE k WHEN 0 THEN 'exact_name_parents' ELSE 'fuzzy_name_parents' END AS method,
+  round(CASE k WHEN 0 THEN 100.0 WHEN 1 THEN 0.55 * 0.95 * 100 + 45 WHEN 2 THEN 0.55 * 2800.0 / 29 + 45 END, 6)::DOUBLE AS score,
+  round(CASE k WHEN 0 THEN 100.0 WHEN 1 THEN 95.0 WHEN 2 THEN 2800.0 / 29 END, 6)::DOUBLE AS name_score FROM c WHERE k < 3"""
+
+
+@query("composite_links", COMPOSITE_SQL)
+def composite_links(spark, d):
+    """Customers linked with damaged copies: equal, words swapped, a letter lost, a parent changed."""
+    k = F.col("c_custkey")
+    c = _customers(spark, d).select(k.alias("id"), (k % 4).alias("k"), _coded(k).alias("name"), _coded(k % 97).alias("father_name"), _coded(k % 89).alias("mother_name"))
+    swapped = F.concat(F.substring_index("name", " ", -1), F.lit(" "), F.substring_index("name", " ", 1))
+    lost = F.concat(F.substring("name", 1, 5), F.expr("substring(name, 7)"))
+    damaged = c.withColumns({
+        "name": F.when(F.col("k") == 1, swapped).when(F.col("k") == 2, lost).otherwise(F.col("name")),
+        "father_name": F.when(F.col("k") == 3, F.lit("ZZZ QQQ")).otherwise(F.col("father_name")),
+    })
+    return resolve.composite_links(damaged, c).select("left_id", "right_id", "method", r6("score"), r6("name_score"))
+
+
 @query(
     "event_to_race_match",
     """WITH e AS (SELECT event_id, CAST(user_id % 20 AS INTEGER) AS grp, CAST(event_id % 9 AS INTEGER) AS no FROM events), n AS (SELECT CAST(o_custkey % 25 AS INTEGER) AS g, CAST(o_orderkey % 7 AS INTEGER) AS k, min(o_orderkey) AS race FROM orders GROUP BY ALL)

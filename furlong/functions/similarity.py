@@ -49,3 +49,84 @@ def token_sort(value: Column) -> Column:
 def best_ratio(a: Column, b: Column) -> Column:
     """The better of the plain and the word-order-free ratio."""
     return F.greatest(ratio(a, b), ratio(token_sort(a), token_sort(b)))
+
+
+def _window(short: str, long: str) -> float:
+    """Best ratio of the shorter text with any stretch of the longer one of its length, the ends included."""
+    n, best = len(short), 0.0
+    letters = set(short)
+    for low in range(1 - n, len(long)):
+        stretch = long[max(low, 0) : low + n]
+        # A best stretch ends, or at an end of the text begins, with a letter of the shorter text.
+        edge = stretch[-1] if low + n <= len(long) else stretch[0]
+        if edge in letters:
+            best = max(best, indel_ratio(short, stretch))
+            if best == 100.0:
+                break
+    return best
+
+
+def best_window(a: str, b: str) -> float:
+    """Ratio of the shorter text with the most similar stretch of the longer one."""
+    if not a and not b:
+        return 100.0
+    if not a or not b:
+        return 0.0
+    if len(a) == len(b):
+        return max(_window(a, b), _window(b, a))
+    return _window(a, b) if len(a) < len(b) else _window(b, a)
+
+
+def token_set(a: str, b: str) -> float:
+    """Ratio by words: common words against common and own words of each side; 100 where all words of
+    one side are common, 0 where a side has none."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    common, own, other = x & y, x - y, y - x
+    if common and not (own and other):
+        return 100.0
+    left, right = " ".join(sorted(own)), " ".join(sorted(other))
+    best = 0.0
+    base = " ".join(sorted(common))
+    with_left, with_right = f"{base} {left}".strip(), f"{base} {right}".strip()
+    best = indel_ratio(with_left, with_right)
+    if common:
+        best = max(best, indel_ratio(base, with_left), indel_ratio(base, with_right))
+    return best
+
+
+def composite_ratio(a: str, b: str) -> float:
+    """The best of several ratios, each with the weight of its trust.
+
+    The plain ratio counts fully. Of lengths less than 1.5 times apart, sorted words and common
+    words count 0.95. Beyond, the best window counts 0.9 (0.6 from 8 times on), and so many times
+    0.95 the windows of sorted words and of words that only one side has. An empty text scores 0."""
+    if not a or not b:
+        return 0.0
+    sorted_a, sorted_b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    plain = indel_ratio(a, b)
+    apart = max(len(a), len(b)) / min(len(a), len(b))
+    if apart < 1.5:
+        return max(plain, 0.95 * indel_ratio(sorted_a, sorted_b), 0.95 * token_set(a, b))
+    scale = 0.9 if apart < 8.0 else 0.6
+    x, y = set(a.split()), set(b.split())
+    if x & y:
+        by_words = 100.0
+    else:
+        by_words = best_window(" ".join(sorted(x - y)), " ".join(sorted(y - x))) if x and y else 0.0
+    return max(plain, scale * best_window(a, b), 0.95 * scale * max(best_window(sorted_a, sorted_b), by_words))
+
+
+def _composites(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else composite_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@cache
+def _composite_udf():
+    return F.pandas_udf(_composites, T.DoubleType())
+
+
+def composite(a: Column, b: Column) -> Column:
+    """Composite score 0 to 100 of two names; see composite_ratio."""
+    return _composite_udf()(a, b)

@@ -206,6 +206,78 @@ def similar_pairs(
     return found.withColumn("_score", score).filter(F.col("_score") >= cutoff)
 
 
+def composite_links(left: DataFrame, right: DataFrame, threshold: float = 97.0, margin: float = 3.0) -> DataFrame:
+    """Link records by (name, sire, dam) with the composite score, and show the evidence.
+
+    Both sides have ``id, name, father_name, mother_name``. A unique exact triple links at 100.
+    Else 0.55, 0.225 and 0.225 times the composite scores of name, sire and dam must reach the
+    threshold and beat the runner-up by the margin. Rows: left_id, right_id, method, score,
+    name_score, father_score, mother_score, runner_up, candidates.
+
+    No pair is lost: a score of c needs a name score of at least (c - 45) / 0.55, and below 100
+    a composite that high comes from words in common or from similar names, see
+    :func:`composite_pairs`. Records are compared by distinct triples, so equal records cost one
+    comparison, and parents are compared once for each distinct pair."""
+    parts = ("name", "father_name", "mother_name")
+    lft = left.select(F.col("id").alias("left_id"), *[text.ascii_key(p).alias(f"l_{p}") for p in parts])
+    rgt = right.select(F.col("id").alias("right_id"), *[text.ascii_key(p).alias(f"r_{p}") for p in parts])
+    l_key, r_key = [f"l_{p}" for p in parts], [f"r_{p}" for p in parts]
+    l_sets, r_sets = lft.select(*l_key).distinct(), rgt.groupBy(*r_key).agg(F.count(F.lit(1)).alias("_n"), F.min("right_id").alias("right_id"))
+    unique = r_sets.filter("_n = 1").drop("_n").withColumnsRenamed(dict(zip(r_key, l_key, strict=True)))
+    exact = lft.join(unique, l_key).select(
+        "left_id", "right_id", F.lit("exact_name_parents").alias("method"), *[F.lit(100.0).alias(c) for c in ("score", "name_score", "father_score", "mother_score")],
+        F.lit(None).cast("double").alias("runner_up"), F.lit(1).cast("long").alias("candidates"),
+    )
+    rest = lft.join(exact.select("left_id"), "left_id", "left_anti")
+    open_sets = rest.select(*l_key).distinct()
+    names = composite_pairs(open_sets.select("l_name").distinct(), r_sets.select("r_name").distinct(), "l_name", "r_name", max(85.0, (threshold - 45.0) / 0.55))
+    pairs = open_sets.join(names.withColumnRenamed("_score", "name_score"), "l_name").join(r_sets, "r_name")
+    for p, weight in (("father_name", 0.225), ("mother_name", 0.225)):
+        short = p.split("_")[0]
+        distinct = pairs.select(f"l_{p}", f"r_{p}").distinct()
+        scored = distinct.withColumn(f"{short}_score", similarity.composite(F.col(f"l_{p}"), F.col(f"r_{p}")))
+        pairs = pairs.join(scored, [f"l_{p}", f"r_{p}"])
+    score = 0.55 * F.col("name_score") + 0.225 * F.col("father_score") + 0.225 * F.col("mother_score")
+    good = pairs.withColumn("score", score)
+    # The runner-up counts whether or not it reaches the threshold; a repeated triple is its own runner-up.
+    order = F.struct(-F.col("score"), "right_id")
+    evidence = F.struct("right_id", "score", "name_score", "father_score", "mother_score", "_n")
+    two = latest.top_n(good, l_key, [F.col("score").desc(), F.col("right_id").asc()], 2, "_rk")
+    best = two.groupBy(*l_key).agg(F.min_by(evidence, order).alias("_b"), F.max(F.when(F.col("_rk") == 2, F.col("score"))).alias("_second"), F.sum("_n").alias("candidates"))
+    runner = F.when(F.col("_b._n") > 1, F.col("_b.score")).otherwise(F.col("_second"))
+    chosen = best.withColumn("runner_up", runner).filter((F.col("_b.score") >= threshold) & (F.col("runner_up").isNull() | (F.col("_b.score") - F.col("runner_up") >= margin)))
+    fuzzy = rest.join(chosen, l_key).select("left_id", "_b.right_id", F.lit("fuzzy_name_parents").alias("method"), "_b.score", "_b.name_score", "_b.father_score", "_b.mother_score", "runner_up", "candidates")
+    return exact.unionByName(fuzzy)
+
+
+def composite_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, cutoff: float) -> DataFrame:
+    """Pairs of distinct names whose composite score reaches a cutoff of at least 85, without pairing all.
+
+    The score is the best of the plain ratio, 0.95 times a ratio of sorted or common words, and, for
+    lengths at least 1.5 times apart, 0.9 or 0.6 times the best window. Windows are at most 90, so
+    above it only the first two are left: similar names, and names with similar sorted words at
+    cutoff / 0.95, or with a word in common. Below 90 a window must be nearly equal, and a
+    window of ratio r shares the bigrams that r needs, so a common bigram is asked for. Names have
+    at least two letters."""
+    if cutoff < 85:
+        raise ValueError("composite_pairs needs a cutoff of at least 85")
+    both = similar_pairs(left, right, [], left_name, right_name, cutoff, any_word_order=True).select(left_name, right_name)
+    once = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " ")
+    both = both.unionByName(_candidates(left.withColumn("_lt", once(left_name)), right.withColumn("_rt", once(right_name)), [], left_name, right_name, "_lt", "_rt", cutoff))
+    pieces = (lambda c: F.array_distinct(F.split(c, " "))) if cutoff > 90 else (lambda c: F.array_distinct(_bigrams(F.col(c))))
+    one = left.select(left_name, F.explode(pieces(left_name)).alias("_p")).filter("_p <> ''")
+    two = right.select(right_name, F.explode(pieces(right_name)).alias("_p")).filter("_p <> ''")
+    shared = one.join(two, "_p").select(left_name, right_name).distinct()
+    found = both.unionByName(shared).distinct()
+    return found.withColumn("_score", similarity.composite(F.col(left_name), F.col(right_name))).filter(F.col("_score") >= cutoff)
+
+
+def _bigrams(value: Column) -> Column:
+    return F.when(F.length(value) < 2, F.array(value)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
+    )
+
+
 def weighted_links(left: DataFrame, right: DataFrame, threshold: float = 97.0, margin: float = 3.0) -> DataFrame:
     """Link records by (name, sire, dam): a unique exact triple, else a weighted score that
     reaches the threshold and beats the runner-up by the margin.
@@ -314,6 +386,70 @@ def dictionary_match(
     return latest.latest_by(found, [text_id], [F.length(name).desc(), F.col(name).asc()])
 
 
+def words_found(texts: DataFrame, names: DataFrame, text_id: str, clean_text: str, name: str, min_length: int = 4) -> DataFrame:
+    """Every known name that stands in a text as whole words: (text_id, name), once each.
+
+    The names form a trie of rows: a word that begins some name carries the word counts of the
+    names it begins, and only runs of these many words, from that word on, are looked up. One
+    long name costs nothing where its first word does not occur."""
+    known = names.filter(F.length(name) >= min_length).select(name).distinct()
+    size = F.size(F.split(name, " "))
+    heads = known.groupBy(F.substring_index(name, " ", 1).alias("_head")).agg(F.array_sort(F.collect_set(size)).alias("_sizes"))
+    words = texts.select(text_id, F.split(clean_text, " ").alias("_words"))
+    # A repeated word of a text is asked for once; the runs are cut from the row of the text itself.
+    asked = words.select(text_id, F.explode(F.array_distinct("_words")).alias("_head"))
+    begins = asked.join(heads, "_head").groupBy(text_id).agg(F.map_from_entries(F.collect_list(F.struct("_head", "_sizes"))).alias("_begins"))
+    runs = F.flatten(F.transform("_words", lambda w, i: F.transform(F.coalesce(F.try_element_at("_begins", w), F.array().cast("array<int>")), lambda n: F.array_join(F.slice("_words", i + 1, n), " "))))
+    found = begins.join(words, text_id).select(text_id, F.explode(F.array_distinct(runs)).alias(name))
+    return found.join(known, name, "left_semi").select(text_id, name)
+
+
+def parts_of_names(long: DataFrame, short: DataFrame, long_name: str, short_name: str) -> DataFrame:
+    """Pairs of distinct names of which one contains the other: (long_name, short_name).
+
+    A name is a few words, so all of its substrings of lengths that short names have are rows, and
+    the pairs are an equi-join; names are never paired with all others."""
+    wanted = short.filter(F.length(short_name) > 0).select(short_name).distinct()
+    lengths = wanted.groupBy(F.substring(short_name, 1, 1).alias("_first")).agg(F.collect_set(F.length(short_name)).alias("_lengths"))
+    whole = long.select(long_name).distinct().filter(F.length(long_name) > 0)
+    each = whole.select(long_name, F.explode(F.sequence(F.lit(1), F.length(long_name))).alias("_i")).withColumn("_first", F.substring(F.col(long_name), F.col("_i"), F.lit(1)))
+    cuts = each.join(lengths, "_first").select(long_name, "_i", F.explode("_lengths").alias("_n")).filter(F.col("_i") + F.col("_n") - 1 <= F.length(long_name))
+    return cuts.select(long_name, F.substring(F.col(long_name), F.col("_i"), F.col("_n")).alias(short_name)).distinct().join(wanted, short_name, "left_semi").select(long_name, short_name)
+
+
+def name_chain(events: DataFrame, names: DataFrame, event_id: str, event_name: str, body: str, name: str, cutoff: float = 95.0, min_length: int = 4) -> DataFrame:
+    """Known name of each event by the first step that finds one, with the step and its confidence.
+
+    exact: the cleaned names are equal, 1. contained: one is part of the other, 0.95; the longest
+    known name inside the event's comes first, else the shortest known one around it. similar: the
+    ratio reaches the cutoff, the best ratio / 100. in_text: the longest known name of min_length
+    letters that stands in the text as words, 0.95. none: 0. Ties go to the first name in order.
+    Names and texts are cleaned already; a missing or empty name goes on to the text."""
+    known = names.filter(F.length(name) > 0).select(F.col(name).alias("_known")).distinct()
+    asked = events.filter(F.length(event_name) > 0).select(F.col(event_name).alias("_name")).distinct()
+    exact = asked.join(known, F.col("_name") == F.col("_known")).select("_name", "_known", F.lit("exact").alias("_step"), F.lit(1.0).alias("_sure"))
+    rest = asked.join(exact.select("_name"), "_name", "left_anti")
+    inside = parts_of_names(rest, known, "_name", "_known").withColumn("_rank", F.struct(F.lit(0), -F.length("_known"), "_known"))
+    around = parts_of_names(known, rest, "_known", "_name").withColumn("_rank", F.struct(F.lit(1), F.length("_known"), "_known"))
+    contained = inside.unionByName(around).groupBy("_name").agg(F.min_by("_known", "_rank").alias("_known")).select("_name", "_known", F.lit("contained").alias("_step"), F.lit(0.95).alias("_sure"))
+    rest = rest.join(contained.select("_name"), "_name", "left_anti")
+    pairs = similar_pairs(rest, known, [], "_name", "_known", cutoff)
+    best = pairs.groupBy("_name").agg(F.min_by(F.struct("_known", "_score"), F.struct(-F.col("_score"), "_known")).alias("_b"))
+    similar = best.select("_name", "_b._known", F.lit("similar").alias("_step"), (F.col("_b._score") / 100.0).alias("_sure"))
+    named = exact.unionByName(contained).unionByName(similar)
+    first = events.join(named, F.col(event_name) == F.col("_name"), "left").drop("_name")
+    open_texts = first.filter("_known IS NULL").select(event_id, F.col(body).alias("_body"))
+    found = words_found(open_texts, known, event_id, "_body", "_known", min_length)
+    longest = found.groupBy(event_id).agg(F.min_by("_known", F.struct(-F.length("_known"), "_known")).alias("_text_name"))
+    out = first.join(longest, event_id, "left")
+    in_text = F.col("_known").isNull() & F.col("_text_name").isNotNull()
+    return out.select(
+        *events.columns, F.coalesce("_known", "_text_name").alias("matched_name"),
+        F.when(in_text, "in_text").otherwise(F.coalesce("_step", F.lit("none"))).alias("match_step"),
+        F.when(in_text, 0.95).otherwise(F.coalesce("_sure", F.lit(0.0))).alias("match_confidence"),
+    )
+
+
 def event_race_match(
     events: DataFrame, races: DataFrame, event_id: str, on: list[str], number: str, race_number: str, race: str
 ) -> DataFrame:
