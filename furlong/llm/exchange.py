@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furlong.llm.storage import new_path
+from furlong.llm.storage import give_back, new_path
 
 #: Text of a block, and text behind one part of the keys, in bytes.
 BLOCK_BYTES, PART_BYTES = 12 << 20, 32 << 20
@@ -64,6 +64,7 @@ def scan(df: DataFrame, schema: str, work: Callable[[Block], Iterator[pa.RecordB
         def flush() -> Iterator[pa.RecordBatch]:
             for out in work(Block(first + number, pa.Table.from_batches(held))):
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            give_back()
 
         seen = rows = 0
         for batch in batches:
@@ -127,6 +128,7 @@ def answer(asked: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray
         got = work(np.concatenate(keys), np.concatenate(more) if extra else None)
         got, tally = got if isinstance(got, tuple) else (got, [])
         ends = np.cumsum([len(k) for k in keys])
+        give_back()
         out = [got[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)]
         blocks, parts, checks = (rows[c].to_pylist() for c in ("block", "part", "check"))
         return pa.table(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.spans import Index, column_bytes
+from furlong.llm.storage import give_back
 
 ORDER = 3
 #: The trees are grown from this many whole labelled texts of each language at most.
@@ -194,6 +195,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 for name, values in (("lang_pred", pa.array(names[np.where(letters, best, -1)], pa.string())), ("score", pa.array(np.where(letters, chance, 0.0))), ("bits_per_byte", pa.array(rate))):
                     out = out.append_column(name, values)
                 yield out
+        give_back()
 
     kept = df.withColumns({"_text": F.coalesce(F.col(text), F.lit("")), "_letters": F.col(text).rlike(r"\p{L}")})
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
