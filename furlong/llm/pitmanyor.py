@@ -3,14 +3,19 @@
 Each word is the context restaurant of the words that follow it; all context restaurants share one
 parent, the restaurant of words without context, whose parent is uniform. Words are customers. A
 customer of a context restaurant sits at a table of its dish, or opens one, which sends a customer
-to the parent. Each Gibbs sweep seats every dish of every restaurant anew, given the tables of the
-last sweep: a customer opens a table in proportion to (strength + discount * tables) * (parent's
-probability), and joins one in proportion to (customers - discount * tables) of the dish. Every
-sweep's predictive probability is averaged, and a text's score is the log of the averages.
-
-All counts are of all training rows. They live in parts of the key space (see exchange): one key
-for each word and for each pair. A seating is drawn from hashes of the pair and the sweep, so every
-block that holds a pair finds the same tables; the first block that has it reports them.
+to the parent. A Gibbs step removes a customer drawn at random from its table, which goes if that
+leaves it empty, and seats it again: at a new table in proportion to (strength + discount * tables)
+* (the parent's probability), at a table of its dish in proportion to (its customers - discount).
+A sweep makes STEPS such steps for every dish of every context restaurant; drawing the customers at
+random leaves the law of the seating as it is, however many a dish has. Dishes are seated side by
+side, given the parent and the tables of the restaurants as the last sweep left them; the parent's
+dishes are seated anew in every sweep. The first BURN_IN sweeps are thrown away; the predictive
+probabilities under the SAMPLES after them are averaged, and a text's score is the log of the averages.
+
+The text is read twice: for its distinct pairs, and to add up the scores of its pairs. In between,
+the distinct pairs of the corpus lie in a table of one row for each part of the keys (see exchange),
+which holds its pairs, their counts of all training rows and the sizes of their tables. What words
+and contexts add up to over all parts travels between the parts as distinct words.
 """
 
 from __future__ import annotations
@@ -27,131 +32,211 @@ from pyspark.sql import functions as F
 from furlong.llm import exchange
 from furlong.llm.exchange import Block
 from furlong.llm.spans import LOWER_VALUE, column_bytes, hash_spans, mix, words
+from furlong.llm.storage import give_back, new_path
 
-SWEEPS, STRENGTH = 2, 1.0
+BURN_IN, SAMPLES, STEPS, STRENGTH = 1, 3, 12, 1.0
 #: Text of a block in bytes.
 BLOCK_BYTES = 16 << 20
 _END, _BEGIN = mix(np.array([11, 13], np.uint64))
 
+PAIR = np.dtype([("context", "<u8"), ("word", "<u8"), ("count", "<u4")])
+COUNTS = np.dtype([("word", "<i8"), ("context", "<i8")])
+TABLES = np.dtype([("word", "<u4"), ("context", "<u4")])
+PARENT = np.dtype([("customers", "<u4"), ("tables", "<u4"), ("context", "<u4")])
+CHANCE = np.dtype([("chance", "<f4"), ("count", "<i8")])
+PARTS = "part int, blocks array<long>, checks array<long>, sizes array<long>, places binary, names binary, context binary, word binary, count binary, once long, twice long"
+SEATING = pa.schema([("of", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("check", pa.int64()), ("keys", pa.binary()), ("extra", pa.binary()), ("values", pa.binary())])
+#: Where a sweep's table holds its questions; its other folders hold the seating of one part each.
+ASKED = -2
 
-def uniform(keys: np.ndarray, step: int, sweep: int) -> np.ndarray:
-    """Numbers in [0, 1) that key, step and sweep decide."""
-    salt = np.uint64((step * 0xD1342543DE82EF95 + (sweep + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-    return (mix(keys + salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
-def seat(customers: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers have come one by one; opening: the weight of a new
-    table. Beyond 32, customers come in groups of half of those seated, and the tables that a
-    group opens are its expectation, rounded up or down at random."""
+
+def sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys, where each first stands, the place of every key among them, and sums of each of the values."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    starts, place = np.flatnonzero(new), np.empty(len(own), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return own[starts], order[starts], place, [np.add.reduceat(v[order].astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64) for v in values]
+
+
+def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after its customers have come; opening: the weight of a new table.
+    Customers come one by one to the first 32, then in groups of a sixteenth of those seated, which
+    open what is expected in the group's middle, rounded up or down at random."""
     tables = (customers > 0).astype(np.float64)
     left = np.flatnonzero(customers > 1)
-    seated, step = np.ones(len(left)), 0
+    seated = np.ones(len(left))
     while len(left):
-        group = np.minimum(np.where(seated < 32, 1, np.ceil(seated / 2)), customers[left] - seated)
-        new = opening[left] / (opening[left] + seated - discount * tables[left])
-        tables[left] += np.floor(group * new + uniform(keys[left], step, sweep))
-        seated, step = seated + group, step + 1
+        group = np.minimum(np.maximum(1, np.floor(seated / 16)), customers[left] - seated)
+        rate = opening[left] / (opening[left] + seated + (group - 1) / 2 - discount * tables[left])
+        tables[left] += np.floor(group * rate + rng.random(len(left)))
+        seated = seated + group
         more = seated < customers[left]
         left, seated = left[more], seated[more]
     return tables
 
 
+def reseat(count: np.ndarray, tables: np.ndarray, sizes: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gibbs steps for dishes in descending order of their count, at least 2 each; sizes: the
+    customers of the tables of all dishes, end to end. Dishes of fewer customers than steps
+    make as many steps as they have customers. Returns the new tables and sizes."""
+    tables = tables.copy()
+    for step in range(steps):
+        n = int(np.searchsorted(-count, -step))  # dishes with more customers than steps made
+        ends = np.cumsum(tables[:n])
+        if not n:
+            break
+        mine, rest = sizes[: ends[-1]].copy(), sizes[ends[-1] :]
+        # A customer drawn at random leaves.
+        before = np.cumsum(count[:n]) - count[:n]
+        table = np.searchsorted(np.cumsum(mine), before + np.floor(rng.random(n) * count[:n]).astype(np.int64), side="right")
+        mine[table] -= 1
+        alone = mine[table] == 0
+        # And takes a seat given all others.
+        joining = count[:n] - 1 - discount * (tables[:n] - alone)
+        draw = rng.random(n) * (opening[:n] + joining)
+        opens = draw < opening[:n]
+        weight = np.cumsum(np.where(mine > 0, mine - discount, 0.0))
+        base = np.concatenate([[0.0], weight])[ends - tables[:n]]
+        joined = np.clip(np.searchsorted(weight, base + draw - opening[:n], side="right"), ends - tables[:n], ends - 1)
+        joined = np.where(mine[joined] > 0, joined, table)  # only where rounding hits a border
+        mine[joined[~opens]] += 1
+        mine[table[opens & alone]] = 1
+        added = opens & ~alone
+        mine = np.insert(mine, ends[added], 1)
+        tables[:n] += added
+        tables[:n] -= alone & ~opens & (joined != table)
+        sizes = np.concatenate([mine[mine > 0], rest])
+    return tables, sizes
+
+
 def discount_of(once: float, twice: float) -> float:
     """From how many dishes were eaten once and twice."""
     return float(np.clip(once / max(once + 2 * twice, 1.0), 0.05, 0.95))
 
 
+def base_chance(count: np.ndarray, tokens: float, kinds: float) -> np.ndarray:
+    return (count + 0.5) / (tokens + 0.5 * (kinds + 1))
+
+
+def parent_chance(customers: np.ndarray, tables: np.ndarray, totals: tuple[float, float, float], kinds: float) -> np.ndarray:
+    """The parent's probability of words; totals: its customers, tables and discount."""
+    floor = (STRENGTH + totals[2] * totals[1]) / (kinds + 1)
+    return (np.maximum(customers - totals[2] * tables, 0) + floor) / (STRENGTH + totals[0])
+
+
+def pair_chance(count, tables, customers, context_tables, parent, discount: float) -> np.ndarray:
+    """Of a word after its context, which has so many customers and tables."""
+    stay = np.maximum(count - discount * tables, 0)
+    return np.where(customers > 0, (stay + (STRENGTH + discount * context_tables) * parent) / (STRENGTH + customers), parent)
+
+
 @dataclass
 class Totals:
     """Sums over the whole corpus, and where the answers of the finished exchanges are."""
 
     tokens: float = 0
     kinds: float = 0
-    texts: float = 0
     discount: float = 0.5
-    word_path: str = ""
-    pair_path: str = ""
-    #: For each sweep: path, customers and tables of the parent, and its discount.
-    sweeps: list[tuple[str, float, float, float]] = field(default_factory=list)
-    begin_tables: list[float] = field(default_factory=list)
+    counts: str = ""
+    #: For each sweep: its own table, the parent's answers, and the parent's customers, tables and discount.
+    sweeps: list[tuple[str, str, tuple[float, float, float]]] = field(default_factory=list)
 
 
-class _Tokens:
-    """The tokens of a block: words and one end for each row, with the token before."""
+class _Pairs:
+    """The distinct pairs of a block: words and one end for each row, each after the token before."""
 
     def __init__(self, block: Block):
         buf, offsets = column_bytes(block.rows.column(0))
         starts, ends, before = words(buf, offsets)
-        word = hash_spans(buf, starts, ends, LOWER_VALUE)
         rows = len(offsets) - 1
         self.bounds = before + np.arange(rows + 1)
-        token = np.empty(len(word) + rows, np.uint64)
+        token = np.empty(len(starts) + rows, np.uint64)
         last = self.bounds[1:] - 1
         own = np.ones(len(token), bool)
         own[last] = False
-        token[own], token[last] = word, _END
-        self.words, self.word, _ = exchange.distinct(token)
-        context = np.empty(len(token), np.int64)  # place among the words; one past them is the begin
-        context[1:] = self.word[:-1]
-        context[self.bounds[:-1]] = len(self.words)
-        names = np.append(self.words, _BEGIN)
-        pair = mix(names[context] * np.uint64(0x9E3779B97F4A7C15) + token)
-        self.pairs, first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_word, self.pair_context = self.word[first], context[first]
-        train = np.asarray(block.rows.column(1).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False), bool)
-        self.train = np.repeat(train, np.diff(self.bounds))
-
-
-def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unique, place = np.unique(keys, return_inverse=True)
-    total = np.zeros((len(unique), values.shape[1]))
-    np.add.at(total, place, values)
-    return unique, place, total
-
-
-class _Model:
-    """What a block knows after the exchanges that are finished."""
-
-    def __init__(self, block: Block, known: Totals, check: int):
-        self.tokens = t = _Tokens(block)
-        self.known = known
-        self.count = exchange.answers(known.word_path, block, check, "<i8").astype(np.float64)
-        told = exchange.answers(known.pair_path, block, check, "<i8")
-        self.pair_count, self.first = (told >> 1).astype(np.float64), (told & 1).astype(bool)
-        self.base = (self.count + 0.5) / (known.tokens + 0.5 * (known.kinds + 1))
-        self.customers = np.append(self.count, known.texts)  # of each context restaurant
-        begin = np.searchsorted(t.words, _BEGIN)  # asked for among the words, but none of them
-        self.told = [np.delete(exchange.answers(path, block, check, "<i8").reshape(-1, 3).astype(np.float64), begin, axis=0) for path, *_ in known.sweeps]
-        if len(self.count) != len(t.words) or len(told) != len(t.pairs):
-            raise RuntimeError("answers do not fit the block")
-
-    def parent(self, sweep: int) -> np.ndarray:
-        """The parent's probability of each word after a sweep; -1: before any."""
-        if sweep < 0:
-            return self.base
-        _, customers, tables, discount = self.known.sweeps[sweep]
-        floor = (STRENGTH + discount * tables) / (self.known.kinds + 1)
-        return (np.maximum(self.told[sweep][:, 0] - discount * self.told[sweep][:, 1], 0) + floor) / (STRENGTH + customers)
-
-    def tables(self, sweep: int) -> np.ndarray:
-        """Tables of each context restaurant after a sweep; -1: a guess."""
-        if sweep < 0:
-            return self.customers * self.known.discount
-        return np.append(self.told[sweep][:, 2], self.known.begin_tables[sweep])
-
-    def seating(self, sweep: int) -> np.ndarray:
-        t = self.tokens
-        opening = (STRENGTH + self.known.discount * self.tables(sweep - 1)[t.pair_context]) * self.parent(sweep - 1)[t.pair_word]
-        return seat(self.pair_count, opening, self.known.discount, t.pairs, sweep)
-
-    def probability(self, sweep: int) -> np.ndarray:
-        """Of each pair's word after its context, under one sweep's seating."""
-        t, d = self.tokens, self.known.discount
-        c, tables = self.customers[t.pair_context], self.tables(sweep)[t.pair_context]
-        stay = np.maximum(self.pair_count - d * self.seating(sweep), 0)
-        parent = self.parent(sweep)[t.pair_word]
-        return np.where(c > 0, (stay + (STRENGTH + d * tables) * parent) / (STRENGTH + c), parent)
+        token[own], token[last] = hash_spans(buf, starts, ends, LOWER_VALUE), _END
+        context = np.empty(len(token), np.uint64)
+        context[1:] = token[:-1]
+        context[self.bounds[:-1]] = _BEGIN
+        self.keys, first, self.place = np.unique(pair_keys(context, token), return_index=True, return_inverse=True)
+        self.context, self.word = context[first], token[first]
+
+
+def gather(rows: pa.Table) -> pa.Table:
+    """The distinct pairs of a part, most frequent first, and where each block's pairs are among them."""
+    told = [np.frombuffer(x.as_buffer(), PAIR) for x in rows["extra"]]
+    sizes = [len(t) for t in told]
+    told = np.concatenate(told)
+    _, first, place, (count,) = sum_by(pair_keys(told["context"], told["word"]), told["count"])
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
+    pairs = told[first[order]]
+    names, index = np.unique(np.concatenate([pairs["context"], pairs["word"]]), return_inverse=True)
+    context, word = index.astype("<u4").reshape(2, -1)
+    give_back()
+    raw = [rank[place].astype("<u4"), names, context, word, count[order].astype("<i8")]
+    return pa.table(
+        [rows["part"].slice(0, 1), *[pa.array([x], pa.list_(pa.int64())) for x in (rows["block"].to_pylist(), rows["check"].to_pylist(), sizes)], *[pa.array([x.tobytes()], pa.binary()) for x in raw], *[pa.array([int((count == k).sum())]) for k in (1, 2)]],
+        names=["part", "blocks", "checks", "sizes", "places", "names", "context", "word", "count", "once", "twice"],
+    )
+
+
+class _Part:
+    """One row of the table of pairs, and what it knows after the finished exchanges."""
+
+    def __init__(self, row: dict, known: Totals):
+        self.number, self.known = row["part"], known
+        self.names, self.context, self.word, self.count = (np.frombuffer(row[c], t) for c, t in (("names", "<u8"), ("context", "<u4"), ("word", "<u4"), ("count", "<i8")))
+        self.several = int(np.searchsorted(-self.count, -1))  # pairs of two customers and more
+        if known.counts:
+            self.told = exchange.answers(known.counts, self, 0, COUNTS)
+            self.customers = self.told["context"][self.context]
+            self.word_count = self.told["word"][self.word]
+
+    def tables(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of every pair and the sizes of those of several customers, after a sweep."""
+        raw = exchange.answers(self.known.sweeps[sweep][0], self, 0, "<u4").astype(np.int64)
+        tables = np.minimum(self.count, 1)
+        tables[: self.several] = raw[: self.several]
+        return tables, raw[self.several :]
+
+    def around(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parent's probability of each pair's word and the tables of its context after a sweep."""
+        _, path, totals = self.known.sweeps[sweep]
+        told = exchange.answers(path, self, 0, PARENT)
+        return parent_chance(told["customers"].astype(np.float64), told["tables"], totals, self.known.kinds)[self.word], told["context"][self.context].astype(np.float64)
+
+    def seated(self, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and sizes of a new sweep."""
+        d, n, rng = self.known.discount, self.several, np.random.default_rng([self.number, sweep])
+        if sweep:
+            parent, context = self.around(sweep - 1)
+            tables, sizes = self.tables(sweep - 1)
+            opening = (STRENGTH + d * context) * parent
+        else:
+            opening = (STRENGTH + d * d * self.customers) * base_chance(self.word_count, self.known.tokens, self.known.kinds)
+            tables = np.minimum(self.count, 1)
+            tables[:n] = seat(self.count[:n].astype(np.float64), opening[:n], d, rng)
+            sizes = np.ones(int(tables[:n].sum()), np.int64)
+            sizes[np.cumsum(tables[:n]) - tables[:n]] += self.count[:n] - tables[:n]
+        tables[:n], sizes = reseat(self.count[:n], tables[:n], sizes, opening[:n], d, rng, STEPS)
+        return tables, sizes
+
+    def chances(self) -> np.ndarray:
+        """The averaged probability of every pair."""
+        total = np.zeros(len(self.count))
+        for sweep in range(BURN_IN, len(self.known.sweeps)):
+            parent, context = self.around(sweep)
+            total += pair_chance(self.count, self.tables(sweep)[0], self.customers, context, parent, self.known.discount)
+        return total / (len(self.known.sweeps) - BURN_IN)
 
 
 SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -163,82 +248,109 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
     held_out: a column; rows for which it holds are not learned from (null: learned from). score
     and base_score are log10 probabilities of the whole text under the model and under smoothed
     word counts. A null or empty text is one end token. Without training rows all words are
-    unknown. df is scanned several times and must be read from files."""
+    unknown. df is scanned twice and must be read from files."""
     spark = df.sparkSession
     df = df.select(F.coalesce(F.col(text), F.lit("")).alias("t"), (~held_out).alias("train"), F.col(key).alias("k"))
-    size, texts = df.agg(F.sum(F.octet_length("t")), F.sum(F.coalesce(F.col("train"), F.lit(True)).cast("long"))).first()
-    parts = exchange.parts_of(size or 0)
-    known = Totals(texts=float(texts or 0))
-
-    def ask(work, extra: str, reply) -> str:
-        return exchange.answer(exchange.scan(df, exchange.ROW, work, BLOCK_BYTES), reply, extra)
-
-    def ask_words(block: Block) -> Iterator[pa.RecordBatch]:
-        t = _Tokens(block)
-        count = np.bincount(t.word, t.train, len(t.words)).astype("<u4")
-        yield exchange.questions(block, block.check(0), t.words, parts, count)
-
-    def count_words(keys: np.ndarray, count: np.ndarray):
-        _, place, total = _sum_by(keys, count[:, None])
-        total = total[:, 0]
-        return total.astype("<i8")[place], [total.sum(), (total > 0).sum()]
-
-    known.word_path = ask(ask_words, "<u4", count_words)
-    known.tokens, known.kinds = exchange.tallies(spark, known.word_path, 2)
+    parts = exchange.parts_of(df.agg(F.sum(F.octet_length("t"))).first()[0] or 0)
+    known = Totals()
 
     def ask_pairs(block: Block) -> Iterator[pa.RecordBatch]:
-        t = _Tokens(block)
-        count = np.bincount(t.pair, t.train, len(t.pairs)).astype("<u4")
-        yield exchange.questions(block, block.check(0), t.pairs, parts, count)
-
-    def count_pairs(keys: np.ndarray, count: np.ndarray):
-        unique, place, total = _sum_by(keys, count[:, None])
-        total = total[:, 0]
-        first = np.zeros(len(keys), np.int64)
-        first[np.unique(place, return_index=True)[1]] = 1
-        return (total.astype("<i8")[place] << 1) | first, [(total == 1).sum(), (total == 2).sum()]
-
-    known.pair_path = ask(ask_pairs, "<u4", count_pairs)
-    known.discount = discount_of(*exchange.tallies(spark, known.pair_path, 2))
-
-    for sweep in range(SWEEPS):
-
-        def ask_tables(block: Block, known=known, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            check = block.check(0)
-            m = _Model(block, known, check)
-            t, mine = m.tokens, np.where(m.first, m.seating(sweep), 0)
-            n = len(t.words)
-            dishes, contexts = np.bincount(t.pair_word, mine, n), np.bincount(t.pair_context, mine, n + 1)
-            # The begin is no word: its tables travel with a key of their own.
-            keys = np.append(t.words, _BEGIN)
-            order = np.argsort(keys)
-            yield exchange.questions(block, check, keys[order], parts, np.column_stack([np.append(dishes, 0), contexts])[order].astype("<u4").view("<u8").ravel())
-
-        def seat_parent(keys: np.ndarray, told: np.ndarray, known=known, sweep=sweep):
-            unique, place, total = _sum_by(keys, told.view("<u4").reshape(-1, 2))
-            customers = total[:, 0]
-            d = known.discount
-            tables = seat(customers, np.full(len(unique), (STRENGTH + d * known.kinds) / (known.kinds + 1)), d, unique, sweep)
-            begin = total[unique == _BEGIN, 1].sum()
-            out = np.column_stack([customers, tables, total[:, 1]]).astype("<i8")[place]
-            return out.view(PARENT).ravel(), [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum(), begin]
-
-        path = ask(ask_tables, "<u8", seat_parent)
-        customers, tables, once, twice, begin = exchange.tallies(spark, path, 5)
-        known.sweeps.append((path, customers, tables, discount_of(once, twice)))
-        known.begin_tables.append(begin)
+        p = _Pairs(block)
+        train = np.asarray(block.rows.column(1).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False), bool)
+        extra = np.empty(len(p.keys), PAIR)
+        extra["context"], extra["word"] = p.context, p.word
+        extra["count"] = np.bincount(p.place, np.repeat(train, np.diff(p.bounds)), len(p.keys))
+        asked = exchange.questions(block, block.check(0), p.keys, parts, extra)
+        yield asked.set_column(3, "keys", pa.nulls(asked.num_rows, pa.binary()))  # the part makes them of context and word
+
+    pairs_path = new_path(spark, "pairs")
+    asked = exchange.scan(df, exchange.ROW, ask_pairs, BLOCK_BYTES)
+    asked.groupBy("part").applyInArrow(gather, PARTS).write.option("compression", "zstd").parquet(pairs_path)
+    pairs = spark.read.schema(PARTS).parquet(pairs_path)
+    learned = pairs.select("part", "names", "context", "word", "count")
+
+    def each(table: DataFrame, work, schema: str, known=known) -> DataFrame:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = {c: batch.column(c)[k].as_buffer() if pa.types.is_binary(batch.schema.field(c).type) else batch.column(c)[k].as_py() for c in batch.schema.names}
+                    yield from work(_Part(row, known), row)
+                    give_back()
+
+        return table.mapInArrow(task, schema)
+
+    def sums(p: _Part, of_word: np.ndarray, of_context: np.ndarray, dtype: np.dtype) -> pa.RecordBatch:
+        n = len(p.names)
+        extra = np.empty(n, dtype)
+        extra["word"], extra["context"] = np.bincount(p.word, of_word, n), np.bincount(p.context, of_context, n)
+        return exchange.questions(p, 0, p.names, parts, extra)
+
+    def ask_counts(p: _Part, row: dict) -> Iterator[pa.RecordBatch]:
+        yield sums(p, p.count, p.count, COUNTS)
+
+    def count(keys: np.ndarray, told: np.ndarray):
+        _, _, place, (word, context) = sum_by(keys, told["word"], told["context"])
+        out = np.empty(len(keys), COUNTS)
+        out["word"], out["context"] = word[place], context[place]
+        return out, [word.sum(), (word > 0).sum()]
+
+    known.counts = exchange.answer(each(learned, ask_counts, exchange.ROW), count, COUNTS)
+    known.tokens, known.kinds = exchange.tallies(spark, known.counts, 2)
+    known.discount = discount_of(*[x or 0 for x in pairs.agg(F.sum("once"), F.sum("twice")).first()])
+
+    for sweep in range(BURN_IN + SAMPLES):
+
+        def sit(p: _Part, row: dict, sweep=sweep) -> Iterator[pa.RecordBatch]:
+            tables, sizes = p.seated(sweep)
+            asked = sums(p, tables, tables, TABLES)
+            n = asked.num_rows
+            seating = np.concatenate([tables[: p.several], sizes]).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ASKED)), *asked.columns, pa.nulls(n, pa.binary())], names=SEATING.names)
+            yield pa.RecordBatch.from_pylist([{"of": p.number, "block": p.number, "part": 0, "check": 0, "values": seating}], SEATING)
+
+        def sit_parent(keys: np.ndarray, told: np.ndarray, sweep=sweep, known=known):
+            unique, _, place, (customers, context) = sum_by(keys, told["word"], told["context"])
+            d = known.sweeps[-1][2][2] if known.sweeps else known.discount
+            opening = np.full(len(unique), (STRENGTH + d * known.kinds) / (known.kinds + 1))
+            tables = seat(customers.astype(np.float64), opening, d, np.random.default_rng([int(unique[0]), sweep]))
+            out = np.empty(len(keys), PARENT)
+            out["customers"], out["tables"], out["context"] = customers[place], tables[place], context[place]
+            return out, [customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum()]
+
+        path = new_path(spark, "seating")
+        each(learned, sit, f"of long, {exchange.ROW}, values binary").write.partitionBy("of").option("compression", "zstd").parquet(path)
+        asked = spark.read.schema(f"{exchange.ROW}, of long").parquet(path).where(F.col("of") == ASKED).drop("of")
+        answered = exchange.answer(asked, sit_parent, TABLES)
+        customers, tables, once, twice = exchange.tallies(spark, answered, 4)
+        known.sweeps.append((path, answered, (customers, tables, discount_of(once, twice))))
+
+    def tell(p: _Part, row: dict) -> Iterator[pa.RecordBatch]:
+        out = np.empty(len(p.count), CHANCE)
+        out["chance"], out["count"] = np.log10(p.chances()), p.word_count
+        ends = np.cumsum(row["sizes"])
+        told = [out[x].tobytes() for x in np.split(np.frombuffer(row["places"], "<u4"), ends[:-1])]
+        n = len(told)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row["blocks"], pa.int64()), pa.array(np.full(n, p.number), pa.int32()), pa.array(row["checks"], pa.int64()), pa.array(told, pa.binary())],
+            names=["block", "part", "check", "values"],
+        )
+
+    path = new_path(spark, "chances")
+    told = each(pairs, tell, "block long, part int, check long, values binary").withColumn("of", F.col("block"))
+    told.repartition("of").write.partitionBy("of").option("compression", "zstd").parquet(path)
 
     def last(block: Block) -> Iterator[pa.RecordBatch]:
-        m = _Model(block, known, block.check(0))
-        t = m.tokens
-        chance = np.mean([m.probability(s) for s in range(SWEEPS)], axis=0)
-        first = t.bounds[:-1]
-        total = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        train = block.rows.column(1).combine_chunks()
+        p = _Pairs(block)
+        told = exchange.answers(path, block, block.check(0), CHANCE)
+        if len(told) != len(p.keys):
+            raise RuntimeError("answers do not fit the block")
+        base = np.log10(base_chance(told["count"], known.tokens, known.kinds))
+        total = lambda x: np.add.reduceat(x[p.place], p.bounds[:-1])
+        n = len(p.bounds) - 1
         yield pa.RecordBatch.from_arrays(
             [
-                block.rows.column(2).combine_chunks(), pc.invert(train.fill_null(True)), pa.array(np.diff(t.bounds)), pa.array(total((m.count > 0)[t.word].astype(np.int64))),
-                pa.array(np.full(len(first), int(known.tokens))), pa.array(total(np.log10(m.base)[t.word])), pa.array(total(np.log10(chance)[t.pair])),
+                block.rows.column(2).combine_chunks(), pc.invert(block.rows.column(1).combine_chunks().fill_null(True)), pa.array(np.diff(p.bounds)),
+                pa.array(total((told["count"] > 0).astype(np.int64))), pa.array(np.full(n, int(known.tokens))), pa.array(total(base)), pa.array(total(told["chance"].astype(np.float64))),
             ],
             names=["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
@@ -246,9 +358,6 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
     return exchange.scan(df, f"k {df.schema['k'].dataType.simpleString()}, {SCORES}", last, BLOCK_BYTES).withColumnRenamed("k", key)
 
 
-PARENT = np.dtype([("customers", "<i8"), ("tables", "<i8"), ("context", "<i8")])
-
-
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of every document under the model of four fifths of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

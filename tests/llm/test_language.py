@@ -69,9 +69,34 @@ def tokens(text):
     return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), None]
 
 
-def test_one_sweep_against_a_plain_model(table, monkeypatch):
-    """The same seating in dictionaries gives the same scores, and probabilities that sum to one."""
-    monkeypatch.setattr(pitmanyor, "SWEEPS", 1)
+def test_counts_and_the_model_of_one_short_text(table):
+    """One text of different words leaves no choice of tables, so its model is known in full."""
+    train, asked = "The cat sat", ["the cat sat", "the", "", "sat new", None, "cat cat"]
+    rows = [(0, train, None, None), *[(k + 1, t, None, None) for k, t in enumerate(asked)]]
+    out = pitmanyor.score(table(rows, SCHEMA), F.col("doc_id") > 0).toPandas().set_index("doc_id")
+    seen = tokens(train)
+    pairs = set(zip(["begin", *seen[:-1]], seen, strict=True))
+    d, n = 0.95, len(seen)  # all pairs and dishes occur once
+    floor = (1 + d * n) / (n + 1)
+
+    def parent(w):
+        return ((1 - d if w in seen else 0) + floor) / (1 + n)
+
+    def chance(u, w):
+        if u != "begin" and u not in seen[:-1]:
+            return parent(w)
+        return ((1 - d if (u, w) in pairs else 0) + (1 + d) * parent(w)) / 2
+
+    for u in ["begin", *seen[:-1], b"new"]:
+        assert abs(sum(chance(u, w) for w in [*seen, b"new"]) - 1) < 1e-9
+    for k, text in enumerate([train, *asked]):
+        t, row = tokens(text), out.loc[k]
+        assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (k > 0, len(t), sum(w in seen for w in t), n)
+        assert abs(row.base_score - sum(math.log10(((w in seen) + 0.5) / (n + 0.5 * (n + 1))) for w in t)) < 1e-9
+        assert abs(row.score - sum(math.log10(chance(u, w)) for u, w in zip(["begin", *t[:-1]], t, strict=True))) < 1e-5
+
+
+def test_base_scores_of_a_corpus_and_repeatable_samples(table):
     draw = random.Random(5)
     after = {"a": "b", "b": "c", "c": "a", "The": "cat", "cat": "sat", "sat": "The"}
 
@@ -83,56 +108,52 @@ def test_one_sweep_against_a_plain_model(table, monkeypatch):
 
     rows = [(i, " ".join(walk(draw.randint(0, 30))), None, None) for i in range(50)]
     rows += [(50, None, None, None), (51, "", None, None), (52, "new words only", None, None), (3, rows[3][1], None, None), (None, "the cat", None, None)]
-    out = pitmanyor.score(table(rows, SCHEMA), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1).toPandas()
+    df = table(rows, SCHEMA)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    out = pitmanyor.score(df, held).toPandas()
     assert len(out) == len(rows)
-    train = [tokens(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    count = Counter(w for t in train for w in t)
+    count = Counter(w for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in tokens(t))
     total, kinds = sum(count.values()), len(count)
-    pairs, contexts = Counter(), Counter()
-    for t in train:
-        for before, w in zip(["begin", *t[:-1]], t, strict=True):
-            pairs[before, w] += 1
-            contexts[before] += 1
-
-    def key(w):
-        if w is None or w == "begin":
-            return pitmanyor._END if w is None else pitmanyor._BEGIN
-        return hash_spans(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), LOWER_VALUE)[0]
-
-    def of(counts):
-        return pitmanyor.discount_of(sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values()))
-
-    def seat(customers, opening, discount, name):
-        return pitmanyor.seat(np.array([float(customers)]), np.array([opening]), discount, np.array([name], np.uint64), 0)[0]
-
-    d = of(pairs)
-    base = lambda w: (count[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    seats, tables, dishes = {}, Counter(), Counter()
-    for (u, w), c in pairs.items():
-        name = mix(np.array([key(u)]) * np.uint64(0x9E3779B97F4A7C15) + np.array([key(w)]))[0]
-        seats[u, w] = seat(c, (1 + d * contexts[u] * d) * base(w), d, name)
-        tables[u] += seats[u, w]
-        dishes[w] += seats[u, w]
-    d0, customers = of(dishes), sum(dishes.values())
-    inner = {w: seat(c, (1 + d * kinds) / (kinds + 1), d, key(w)) for w, c in dishes.items()}
-
-    def parent(w):
-        return (max(dishes[w] - d0 * inner.get(w, 0), 0) + (1 + d0 * sum(inner.values())) / (kinds + 1)) / (1 + customers)
-
-    def chance(u, w):
-        if not contexts[u]:
-            return parent(w)
-        return (max(pairs[u, w] - d * seats.get((u, w), 0), 0) + (1 + d * tables[u]) * parent(w)) / (1 + contexts[u])
-
-    vocabulary = [*count, b"unknown"]
-    for u in ["begin", b"a", b"the", b"unknown"]:
-        assert abs(sum(chance(u, w) for w in vocabulary) - 1) < 1e-9
     for row in out.itertuples():
         t = tokens(next(t for i, t, *_ in rows if i == row.doc_id or i is None and row.doc_id != row.doc_id))
         assert row.n_tokens == len(t) and row.n_known == sum(count[w] > 0 for w in t) and row.train_tokens == total
-        assert abs(row.base_score - sum(math.log10(base(w)) for w in t)) < 1e-8
-        assert abs(row.score - sum(math.log10(chance(u, w)) for u, w in zip(["begin", *t[:-1]], t, strict=True))) < 1e-6
+        assert abs(row.base_score - sum(math.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t)) < 1e-8
     assert out[out.held_out].score.sum() > out[out.held_out].base_score.sum()
+    assert sorted(pitmanyor.score(df, held).toPandas().score) == sorted(out.score)
+
+
+def test_chances_of_a_restaurant_sum_to_one():
+    rng = np.random.default_rng(1)
+    dishes, kinds, d = rng.integers(0, 9, 40), 40.0, 0.4
+    tables = np.minimum(dishes, rng.integers(1, 4, 40))
+    parent = pitmanyor.parent_chance(dishes, tables, (dishes.sum(), tables.sum(), 0.3), kinds)
+    unknown = pitmanyor.parent_chance(np.zeros(1), np.zeros(1), (dishes.sum(), tables.sum(), 0.3), kinds)
+    assert abs(parent.sum() + unknown[0] - 1) < 1e-9
+    of = lambda n, t, p: pitmanyor.pair_chance(n, t, dishes.sum(), tables.sum(), p, d)
+    assert abs(of(dishes, tables, parent).sum() + of(0, 0, unknown[0]) - 1) < 1e-9
+
+
+def test_gibbs_steps_keep_the_law_of_the_seating():
+    """The share of each number of tables is what all arrangements together give: a weight for
+    each table, times (1 - d)(2 - d)... for the customers of each."""
+    d, opening, n = 0.5, 0.8, 20_000
+    for customers in (2, 3, 6, 15):
+        ways = np.zeros((customers + 1, customers + 1))
+        ways[0, 0] = 1
+        for c in range(customers):
+            for t in range(c + 1):
+                ways[c + 1, t + 1] += ways[c, t] * opening
+                ways[c + 1, t] += ways[c, t] * (c - d * t)
+        law = ways[customers] / ways[customers].sum()
+        rng = np.random.default_rng(customers)
+        tables, sizes = np.ones(n, np.int64), np.full(n, customers)
+        for _ in range(40):  # from one table each; by then the start is forgotten
+            tables, sizes = pitmanyor.reseat(np.full(n, customers), tables, sizes, np.full(n, opening), d, rng, 12)
+            assert tables.sum() == len(sizes) and sizes.min() > 0
+            assert (np.add.reduceat(sizes, np.cumsum(tables) - tables) == customers).all()
+        share = np.bincount(tables, minlength=customers + 1) / n
+        assert abs(share - law).max() < 0.015
+        assert abs(tables.mean() - law @ np.arange(customers + 1)) < 0.02 * tables.mean()
 
 
 def test_sweeps_are_averaged_and_an_empty_table_is_empty(table):
@@ -143,10 +164,13 @@ def test_sweeps_are_averaged_and_an_empty_table_is_empty(table):
     assert pitmanyor.score(df.where("doc_id > 1000"), F.col("doc_id") > 0).count() == 0
 
 
-def test_seating_is_bounded_and_exact_for_ones():
-    keys = mix(np.arange(1000, dtype=np.uint64))
-    customers = np.concatenate([np.zeros(10), np.ones(10), np.full(980, 5000.0)])
-    tables = pitmanyor.seat(customers, np.full(1000, 2.0), 0.5, keys, 0)
-    assert (tables[:10] == 0).all() and (tables[10:20] == 1).all() and (tables <= np.maximum(customers, 0)).all()
-    assert (pitmanyor.seat(customers, np.full(1000, 2.0), 0.5, keys, 0) == tables).all()
-    assert (pitmanyor.seat(customers, np.full(1000, 2.0), 0.5, keys, 1) != tables).any()
+def test_seating_is_that_of_customers_who_come_one_by_one():
+    rng = np.random.default_rng(3)
+    for opening, d in ((2.0, 0.5), (0.3, 0.8)):
+        customers = np.concatenate([np.zeros(10), np.ones(10), np.full(980, 2000.0)])
+        tables = pitmanyor.seat(customers, np.full(1000, opening), d, rng)
+        assert (tables[:10] == 0).all() and (tables[10:20] == 1).all() and (tables <= customers).all()
+        plain = np.ones(2000)
+        for seated in range(1, 2000):
+            plain += rng.random(2000) < opening / (opening + seated - d * plain)
+        assert abs(tables[20:].mean() / plain.mean() - 1) < 0.02
