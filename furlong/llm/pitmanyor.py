@@ -42,14 +42,14 @@ def uniform(keys: np.ndarray, step: int, sweep: int) -> np.ndarray:
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, keys: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of each dish after its customers have come one by one; opening: the weight of a new
-    table. Beyond 32, customers come in groups of half of those seated, and the tables that a
-    group opens are its expectation, rounded up or down at random."""
+    table. Beyond 16, customers come in groups of a sixteenth of those seated, and the tables that
+    a group opens are what is expected at its middle, rounded up or down at random."""
     tables = (customers > 0).astype(np.float64)
     left = np.flatnonzero(customers > 1)
     seated, step = np.ones(len(left)), 0
     while len(left):
-        group = np.minimum(np.where(seated < 32, 1, np.ceil(seated / 2)), customers[left] - seated)
-        new = opening[left] / (opening[left] + seated - discount * tables[left])
+        group = np.minimum(np.maximum(1, np.floor(seated / 16)), customers[left] - seated)
+        new = opening[left] / (opening[left] + seated + (group - 1) / 2 - discount * tables[left])
         tables[left] += np.floor(group * new + uniform(keys[left], step, sweep))
         seated, step = seated + group, step + 1
         more = seated < customers[left]
@@ -78,36 +78,48 @@ class Totals:
 
 
 class _Tokens:
-    """The tokens of a block: words and one end for each row, with the token before."""
+    """The tokens of a block: words and one end for each row, with the token before. What a scan
+    does not ask about, words or pairs, is left out."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Block, with_words: bool = True, with_pairs: bool = True):
         buf, offsets = column_bytes(block.rows.column(0))
         starts, ends, before = words(buf, offsets)
-        word = hash_spans(buf, starts, ends, LOWER_VALUE)
         rows = len(offsets) - 1
         self.bounds = before + np.arange(rows + 1)
-        token = np.empty(len(word) + rows, np.uint64)
+        token = np.empty(len(starts) + rows, np.uint64)
         last = self.bounds[1:] - 1
         own = np.ones(len(token), bool)
         own[last] = False
-        token[own], token[last] = word, _END
-        self.words, self.word, _ = exchange.distinct(token)
-        context = np.empty(len(token), np.int64)  # place among the words; one past them is the begin
-        context[1:] = self.word[:-1]
-        context[self.bounds[:-1]] = len(self.words)
-        names = np.append(self.words, _BEGIN)
-        pair = mix(names[context] * np.uint64(0x9E3779B97F4A7C15) + token)
-        self.pairs, first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
-        self.pair_word, self.pair_context = self.word[first], context[first]
+        token[own], token[last] = hash_spans(buf, starts, ends, LOWER_VALUE), _END
+        if with_words:
+            self.words, self.word = np.unique(token, return_inverse=True)
+        if with_pairs:
+            pair = mix(self._before(token, _BEGIN) * np.uint64(0x9E3779B97F4A7C15) + token)
+            self.pairs, first, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        if with_words and with_pairs:
+            # A context is a place among the words; one past them is the begin.
+            self.pair_word, self.pair_context = self.word[first], self._before(self.word, len(self.words))[first]
         train = np.asarray(block.rows.column(1).combine_chunks().fill_null(True).to_numpy(zero_copy_only=False), bool)
         self.train = np.repeat(train, np.diff(self.bounds))
 
+    def _before(self, token: np.ndarray, begin) -> np.ndarray:
+        out = np.empty_like(token)
+        out[1:] = token[:-1]
+        out[self.bounds[:-1]] = begin
+        return out
 
-def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    unique, place = np.unique(keys, return_inverse=True)
-    total = np.zeros((len(unique), values.shape[1]))
-    np.add.at(total, place, values)
-    return unique, place, total
+
+def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where each first stands, the place of every key among them, and the sums
+    of their values."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    starts, place = np.flatnonzero(new), np.empty(len(own), np.int64)
+    place[order] = np.cumsum(new) - 1
+    total = np.add.reduceat(values[order].astype(np.float64), starts, axis=0) if len(starts) else np.zeros((0, values.shape[1]))
+    return own[starts], order[starts], place, total
 
 
 class _Model:
@@ -174,12 +186,12 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
         return exchange.answer(exchange.scan(df, exchange.ROW, work, BLOCK_BYTES), reply, extra)
 
     def ask_words(block: Block) -> Iterator[pa.RecordBatch]:
-        t = _Tokens(block)
+        t = _Tokens(block, with_pairs=False)
         count = np.bincount(t.word, t.train, len(t.words)).astype("<u4")
         yield exchange.questions(block, block.check(0), t.words, parts, count)
 
     def count_words(keys: np.ndarray, count: np.ndarray):
-        _, place, total = _sum_by(keys, count[:, None])
+        _, _, place, total = _sum_by(keys, count[:, None])
         total = total[:, 0]
         return total.astype("<i8")[place], [total.sum(), (total > 0).sum()]
 
@@ -187,15 +199,15 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
     known.tokens, known.kinds = exchange.tallies(spark, known.word_path, 2)
 
     def ask_pairs(block: Block) -> Iterator[pa.RecordBatch]:
-        t = _Tokens(block)
+        t = _Tokens(block, with_words=False)
         count = np.bincount(t.pair, t.train, len(t.pairs)).astype("<u4")
         yield exchange.questions(block, block.check(0), t.pairs, parts, count)
 
     def count_pairs(keys: np.ndarray, count: np.ndarray):
-        unique, place, total = _sum_by(keys, count[:, None])
+        _, at, place, total = _sum_by(keys, count[:, None])
         total = total[:, 0]
         first = np.zeros(len(keys), np.int64)
-        first[np.unique(place, return_index=True)[1]] = 1
+        first[at] = 1
         return (total.astype("<i8")[place] << 1) | first, [(total == 1).sum(), (total == 2).sum()]
 
     known.pair_path = ask(ask_pairs, "<u4", count_pairs)
@@ -215,7 +227,7 @@ def score(df: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> D
             yield exchange.questions(block, check, keys[order], parts, np.column_stack([np.append(dishes, 0), contexts])[order].astype("<u4").view("<u8").ravel())
 
         def seat_parent(keys: np.ndarray, told: np.ndarray, known=known, sweep=sweep):
-            unique, place, total = _sum_by(keys, told.view("<u4").reshape(-1, 2))
+            unique, _, place, total = _sum_by(keys, told.view("<u4").reshape(-1, 2))
             customers = total[:, 0]
             d = known.discount
             tables = seat(customers, np.full(len(unique), (STRENGTH + d * known.kinds) / (known.kinds + 1)), d, unique, sweep)

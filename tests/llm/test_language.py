@@ -150,3 +150,13 @@ def test_seating_is_bounded_and_exact_for_ones():
     assert (tables[:10] == 0).all() and (tables[10:20] == 1).all() and (tables <= np.maximum(customers, 0)).all()
     assert (pitmanyor.seat(customers, np.full(1000, 2.0), 0.5, keys, 0) == tables).all()
     assert (pitmanyor.seat(customers, np.full(1000, 2.0), 0.5, keys, 1) != tables).any()
+
+
+def test_seating_is_that_of_customers_who_come_one_by_one():
+    rng = np.random.default_rng(3)
+    for opening, d in ((2.0, 0.5), (0.3, 0.8)):
+        tables = pitmanyor.seat(np.full(4000, 2000.0), np.full(4000, opening), d, mix(np.arange(4000, dtype=np.uint64)), 0)
+        plain = np.ones(4000)
+        for seated in range(1, 2000):
+            plain += rng.random(4000) < opening / (opening + seated - d * plain)
+        assert abs(tables.mean() / plain.mean() - 1) < 0.02
