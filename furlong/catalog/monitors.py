@@ -248,6 +248,35 @@ def coverage_missed(spark, d):
     return gates.missed_races(base.programs(spark, d), base.predictions(spark, d), at("1996-01-01"), at("2000-01-01"))
 
 
+@query(
+    "coverage_gate",
+    base.SQL + """, v AS (SELECT prediction_id, race_id, horse_id, race_start_at, prediction_time, CASE WHEN horse_id = 3 THEN snapshot_id + 1 ELSE snapshot_id END AS sid, CASE WHEN horse_id = 2 THEN 'other' ELSE source_request_id END AS req FROM runs WHERE run >= 2),
+c AS (SELECT (SELECT count(*) FROM v WHERE prediction_time >= race_start_at) AS late_predictions,
+(SELECT count(*) FROM v LEFT JOIN prog s ON s.snapshot_id = v.sid AND s.race_id = v.race_id AND s.entrant = v.horse_id WHERE s.snapshot_id IS NULL OR s.source_request_id <> v.req) AS provenance_mismatches,
+(SELECT count(*) FROM v WHERE horse_id = 5) AS hash_mismatches,
+(SELECT count(DISTINCT race_id) FROM prog WHERE race_start_at >= TIMESTAMP '1996-01-01' AND race_start_at - INTERVAL 5 MINUTE <= TIMESTAMP '2000-01-01' AND track NOT LIKE 'Paris%' AND race_id NOT IN (SELECT race_id FROM v)) AS missed_races)
+SELECT *, late_predictions + provenance_mismatches + hash_mismatches + missed_races = 0 AS snapshot_coverage_pass FROM c""",
+)
+def coverage_gate(spark, d):
+    """Some archived ids are wrong, entrant 5's hashes are of other values, and one run is late."""
+    at = lambda s: F.lit(s).cast("timestamp")
+    tag = lambda df, sid: df.withColumn("_tag", F.concat_ws(":", "race_id", "horse_id", sid))
+    make = lambda: jsonx.feature_hash(["agf_percent", "odds"], "feature_snapshot_id", "source_request_id", "race_start_at", "v2")
+    runs = base.predictions(spark, d).filter("prediction_id NOT LIKE '1:%'").withColumns(
+        {
+            "feature_snapshot_id": F.when(F.col("horse_id") == 3, F.col("feature_snapshot_id") + 1).otherwise(F.col("feature_snapshot_id")),
+            "source_request_id": F.when(F.col("horse_id") == 2, "other").otherwise(F.col("source_request_id")),
+        }
+    )
+    runs = tag(runs, "feature_snapshot_id").drop("feature_snapshot_id").withColumnRenamed("_tag", "feature_snapshot_id")
+    runs = runs.withColumn("feature_hash", make()).withColumn(
+        "agf_percent", F.when(F.col("horse_id") == 5, F.col("agf_percent") + 1).otherwise(F.col("agf_percent"))
+    )
+    programs = tag(base.program(spark, d).withColumn("horse_id", F.col("entrant")), "snapshot_id").drop("snapshot_id")
+    programs = programs.withColumnRenamed("_tag", "snapshot_id")
+    return gates.coverage_gate(programs, runs, make(), at("1996-01-01"), at("2000-01-01"))
+
+
 @query(
     "append_only_audit",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'deleted' ELSE 'updated' END AS violation FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0",

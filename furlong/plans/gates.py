@@ -91,14 +91,31 @@ def append_only_violations(previous: DataFrame, current: DataFrame, keys: list[s
 
 
 def final_gate(checks: dict[str, DataFrame], epoch_known: bool = True) -> DataFrame:
-    """One row: does the snapshot coverage gate pass, and how many races were missed."""
-    rows = check_rows(checks)
-    return rows.agg(
+    """One row: the violations of every check, and whether the gate passes. Without a known epoch
+    it does not."""
+    return check_rows(checks).agg(
+        *[F.sum(F.when(F.col("check") == name, F.col("violations"))).alias(name) for name in checks],
         (F.bool_and("passed") & F.lit(epoch_known)).alias("snapshot_coverage_pass"),
-        F.coalesce(F.sum(F.when(F.col("check") == "missed_races", F.col("violations"))), F.lit(0)).alias("missed_shadow_races"),
     )
 
 
+def coverage_gate(
+    programs: DataFrame, predictions: DataFrame, computed_hash: Column, epoch: Column | None, now: Column,
+) -> DataFrame:
+    """The snapshot coverage gate: no prediction made after its start, every prediction archived
+    with its own programme snapshot and an unchanged feature hash, no race missed since the epoch.
+    An empty archive has nothing wrong in it; without an epoch no race counts as missed, but the
+    gate does not pass."""
+    since = F.lit(None).cast("timestamp") if epoch is None else epoch
+    checks = {
+        "late_predictions": predictions.filter(~F.coalesce(F.col("prediction_time") < F.col("race_start_at"), F.lit(False))),
+        "provenance_mismatches": provenance_mismatches(predictions, programs),
+        "hash_mismatches": hash_mismatches(predictions, computed_hash),
+        "missed_races": missed_races(programs, predictions, since, now),
+    }
+    return final_gate(checks, epoch is not None)
+
+
 def run_status(df: DataFrame) -> DataFrame:
     """Status and readiness from one row of gate results per day.
 
