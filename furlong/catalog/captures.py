@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from furlong.catalog import base
@@ -366,6 +368,35 @@ def result_csv_sections(spark, d):
     return result_csv.parse(files).select("file", "race_no", "start_hhmm", "finish_position", "horse_name_key", "result_odds")
 
 
+@query(
+    "result_csv_encodings",
+    base.SQL + """SELECT race_id // 1000 AS file, CASE WHEN race_id // 1000 % 3 = 2 THEN 'cp1254' ELSE 'utf-8' END AS encoding,
+3 * dense_rank() OVER (PARTITION BY race_id // 1000 ORDER BY race_id) + row_number() OVER (PARTITION BY race_id // 1000 ORDER BY race_id, entrant) - 1 AS line_no,
+CAST(race_id AS INTEGER) AS race_no, '13:30' AS start_hhmm, 'Ankara' AS track_raw, CAST(entrant AS INTEGER) AS finish_position, 'ŞĞİ ' || horse AS horse_name_raw
+FROM prog""",
+)
+def result_csv_encodings(spark, d):
+    """Files of up to a thousand races, with and without a byte-order mark and in the Turkish code page."""
+    rows = base.program(spark, d).withColumn("file", F.expr("race_id div 1000"))
+    line = lambda part, entrant, value: ("file", "race_id", F.lit(part).alias("part"), entrant.alias("entrant"), value.alias("line"))
+    none = F.lit(0).cast("long")
+    races = rows.select("file", "race_id").distinct()
+    text_lines = rows.select(*line(2, F.col("entrant").cast("long"), F.concat_ws(";", "entrant", F.concat(F.lit("ŞĞİ "), "horse")))).unionByName(
+        races.select(*line(0, none, F.concat("race_id", F.lit(". Kosu : 13.30;a"))))
+    ).unionByName(races.select(*line(1, none, F.lit("At No;At İsmi;")))).unionByName(races.select(*line(3, none, F.lit("Ganyan;1;2"))))
+    mark = F.when(F.col("file") % 3 == 0, "\ufeff").otherwise("")
+    heads = rows.select("file").distinct().withColumn("race_id", F.lit(-1).cast("long")).select(*line(0, none, F.concat(mark, F.lit("Ankara;x"))))
+    stored = F.when(F.col("file") % 3 == 2, text.encode_cp1254("line").cast("string")).otherwise(F.col("line"))
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/result-lines-{uuid.uuid4().hex}"
+    ordered = text_lines.unionByName(heads).repartition("file").sortWithinPartitions("file", "race_id", "part", "entrant")
+    ordered.select("file", stored.alias("value")).write.partitionBy("file").text(path)
+    out = result_csv.read(spark, path)
+    return out.select(
+        F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "encoding", "line_no", "race_no", "start_hhmm",
+        "track_raw", "finish_position", "horse_name_raw",
+    )
+
+
 @query(
     "cell_typing",
     "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 3 END AS race_no, CAST(p_size AS VARCHAR) AS horse_no, p_name AS horse_name, p_brand AS old_name, p_type AS reason, 'JOCKEY_CHANGE' AS kind FROM part",

@@ -242,12 +242,32 @@ def unescape_first_line(value: Column | str) -> Column:
     return F.trim(F.regexp_extract(text, r"^([^\r\n]*)", 1))
 
 
-def decode_bytes(content: Column | str) -> Column:
-    """UTF-8 (with or without byte-order mark), else Latin-1, which never fails."""
-    content = _col(content)
-    utf8 = F.decode(content, "UTF-8")
-    text = F.when(~utf8.contains("\ufffd"), utf8).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.regexp_replace(text, "^\ufeff", "")
+# The upper half of the Turkish code page beside Latin-1; bytes it leaves undefined stand apart.
+_TURKISH = {chr(b): bytes([b]).decode("cp1254", errors="ignore") for b in range(0x80, 0x100)}
+_TURKISH_GAPS = "".join(latin for latin, char in _TURKISH.items() if not char)
+_TURKISH_PAIRS = [(latin, char) for latin, char in _TURKISH.items() if char and char != latin]
+_TURKISH_LATIN, _TURKISH_TEXT = ("".join(side) for side in zip(*_TURKISH_PAIRS, strict=True))
+
+
+def is_cp1254(content: Column | str) -> Column:
+    """No byte is undefined in the Turkish code page."""
+    return ~F.decode(_col(content), "ISO-8859-1").rlike(f"[{_TURKISH_GAPS}]")
+
+
+def encode_cp1254(value: Column | str) -> Column:
+    """Bytes of a text in the Turkish code page; letters it lacks become question marks."""
+    return F.encode(F.translate(_col(value), _TURKISH_TEXT, _TURKISH_LATIN), "ISO-8859-1")
+
+
+def decode_as(content: Column | str, encoding: Column | str) -> Column:
+    """Text of bytes known to be ``utf-8``, ``cp1254`` or ``latin-1``."""
+    content, encoding = _col(content), _col(encoding)
+    latin = F.decode(content, "ISO-8859-1")
+    return (
+        F.when(encoding == "utf-8", content.cast("string"))
+        .when(encoding == "cp1254", F.translate(latin, _TURKISH_LATIN, _TURKISH_TEXT))
+        .otherwise(latin)
+    )
 
 
 def city_from_file_name(name: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import numbers, text
 from furlong.operators import skew
+from furlong.sources import lines
 
 HEADER = r"(?iu)^(\d+)\.\s*Kosu\s*:\s*(?:[A-ZÇŞĞÜÖİa-zçşğüöı\s]+\s+)?(\d{1,2})[.:h](\d{2})"
 COLUMNS = r"At No.*At İsmi"
@@ -14,28 +15,29 @@ NOT_RUN = r"(?iu)koşmaz|kosmaz"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files decoded to text with their name, one row per file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), text.decode_bytes("content").alias("body")
-    )
+    """Finishers of all files under ``path``, each file in the encoding that fits it."""
+    return parse_lines(lines.read_lines(spark, path), "path", ["encoding"])
 
 
 def parse(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame:
-    """One row per finisher of every race of every file.
+    """One row per finisher of every race of every stored body."""
+    split = files.select(file, F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"))
+    return parse_lines(split, file)
+
+
+def parse_lines(split: DataFrame, file: str, also: list[str] | None = None) -> DataFrame:
+    """One row per finisher from numbered lines, with the columns ``also`` of its line.
 
     A line's state is carried, not looped: the latest race header gives the race, and an
     entrant row counts only while every line since the column header is an entrant row.
     """
-    lines = files.select(file, F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")).withColumn(
-        "line", F.trim("line")
-    )
+    split = split.withColumn("line", F.trim("line"))
     part = lambda i: F.nullif(F.regexp_extract("line", HEADER, i), F.lit(""))
     cells = F.transform(F.split("line", ";"), lambda c: F.trim(c))
     is_header = F.col("line").rlike(HEADER)
     is_columns = F.col("line").rlike(COLUMNS)
     is_entrant = F.element_at(cells, 1).rlike(r"^\d{1,2}$")
-    typed = lines.withColumns(
+    typed = split.withColumns(
         {
             "_race": F.when(
                 is_header,
@@ -58,7 +60,7 @@ def parse(files: DataFrame, file: str = "file", body: str = "body") -> DataFrame
     at = lambda i: F.try_element_at("_cells", F.lit(i))
     rows = carried.filter("_cells IS NOT NULL AND _in AND _r IS NOT NULL")
     out = rows.select(
-        file, "line_no", F.col("_r.race_no").alias("race_no"), F.col("_r.start_hhmm").alias("start_hhmm"),
+        file, *(also or []), "line_no", F.col("_r.race_no").alias("race_no"), F.col("_r.start_hhmm").alias("start_hhmm"),
         F.col("_t").alias("track_raw"), at(1).cast("int").alias("finish_position"),
         F.coalesce(at(2), F.lit("")).alias("horse_name_raw"), at(13).alias("race_time"),
         numbers.odds_in_text(at(14)).alias("result_odds"),
