@@ -383,7 +383,7 @@ def _training_set(spark, d):
     return features.training_set(_raw_history(spark, d), _profiles(spark, d), _typed_order(), conditions)
 
 
-_TRAIN_SQL = base.SQL + """, typed AS (
+_TYPED_SQL = base.SQL + """, typed AS (
   SELECT 'horse:' || horse AS horse_id, CAST(race_id AS VARCHAR) AS race_id, strftime(race_start_at, '%d.%m.%Y') AS race_date,
     CAST(race_start_at AS DATE) AS day, track, distance, substr(surface, 1, 1) || ':' AS surface, race_class,
     coalesce(CASE WHEN p.p_size <= 40 THEN p.p_name END, 'Unknown') AS horse_name, jockey, trainer, weight AS carried_weight,
@@ -391,7 +391,9 @@ _TRAIN_SQL = base.SQL + """, typed AS (
     94.04 AS finish_time_seconds, odds, discount AS agf, price AS handicap_rating
   FROM snap LEFT JOIN part p ON snap.horse = p.p_partkey),
 u AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY horse_id, race_id
-    ORDER BY carried_weight DESC, handicap_rating DESC, draw DESC, trainer) AS rn FROM typed) WHERE rn = 1),
+    ORDER BY carried_weight DESC, handicap_rating DESC, draw DESC, trainer) AS rn FROM typed) WHERE rn = 1)"""
+
+_TRAIN_SQL = _TYPED_SQL + """,
 f AS (SELECT race_id, count(*) AS found, count(finish_position) AS num, count(DISTINCT finish_position) AS uni, min(finish_position) AS mn, max(finish_position) AS mx FROM u GROUP BY race_id),
 cond AS (SELECT CAST(o_orderdate AS DATE) AS day, """ + base._case_sql("o_orderpriority", base.TRACKS) + """ AS track, max(o_orderstatus) AS tc FROM orders GROUP BY ALL),
 w AS (SELECT u.*, lag(day) OVER h AS pd, lag(carried_weight) OVER h AS pw, lag(race_class) OVER h AS pc, lag(surface) OVER h AS ps, lag(distance) OVER h AS pdist,
@@ -454,16 +456,64 @@ def incremental_features(spark, d):
     )
 
 
-@query("strict_recompute_compare")
+_STRICT_SQL = _TYPED_SQL + """, pairs AS (
+  SELECT t.race_id, t.horse_id, h.race_id AS hr, h.finish_position AS fin, date_diff('day', h.day, t.day) AS gap,
+    t.carried_weight - h.carried_weight AS weight, t.distance - h.distance AS dist, CAST(t.race_class IS DISTINCT FROM h.race_class AS INTEGER) AS cls,
+    CAST(t.surface IS DISTINCT FROM h.surface AS INTEGER) AS surf, """ + ", ".join(
+    f"h.race_id IS NOT NULL AND t.{c} IS NOT DISTINCT FROM h.{c} AS s_{c}" for c in ("surface", "distance", "track", "jockey", "trainer")
+) + """, row_number() OVER (PARTITION BY t.race_id, t.horse_id ORDER BY h.day DESC NULLS LAST, h.race_id DESC) AS rn
+  FROM u t LEFT JOIN u h ON h.horse_id = t.horse_id AND h.day < t.day)
+SELECT race_id, horse_id, CAST(max(gap) FILTER (rn = 1) AS DOUBLE) AS days_since_last_race, """ + ", ".join(
+    f"round(avg(fin) FILTER (rn <= {n}), 6) AS last_{n}_avg_position" for n in (3, 5, 10)
+) + ", " + ", ".join(
+    f"round(CAST(count(*) FILTER (s_{c} AND fin = 1) AS DOUBLE) / nullif(count(*) FILTER (s_{c}), 0), 6) AS {c}{more}_win_rate"
+    for c, more in (("surface", ""), ("distance", ""), ("track", ""), ("jockey", "_horse"), ("trainer", "_horse"))
+) + """, max(weight) FILTER (rn = 1) AS weight_change, coalesce(max(cls) FILTER (rn = 1 AND hr IS NOT NULL), 1) AS class_change,
+  max(dist) FILTER (rn = 1) AS distance_change, coalesce(max(surf) FILTER (rn = 1 AND hr IS NOT NULL), 1) AS surface_change
+FROM pairs GROUP BY race_id, horse_id"""
+
+
+def _dataset_rows(spark, d):
+    from furlong.sources import scans
+
+    return features.dataset_features(scans.dataset_columns(_raw_history(spark, d), _profiles(spark, d)), _typed_order())
+
+
+@query("strict_recompute", _STRICT_SQL)
+def strict_recompute(spark, d):
+    """History features of all rows by folds over the days of a horse."""
+    out = features.strict_recompute(_dataset_rows(spark, d))
+    return out.select("race_id", "horse_id", *[r6(c) for c in features.DERIVED if c not in ("class_change", "surface_change")], "class_change", "surface_change")
+
+
+@query(
+    "strict_recompute_compare",
+    "WITH strict AS (" + _STRICT_SQL + "), train AS (" + _TRAIN_SQL + ")" + " UNION ALL ".join(
+        f" SELECT count(*) AS checked, '{c}' AS feature, count(*) FILTER ((s.{c} IS NULL) <> (t.{c} IS NULL) OR abs(s.{c} - t.{c}) > 1e-5) AS mismatches"
+        " FROM strict s JOIN train t USING (race_id, horse_id)"
+        for c in features.DERIVED
+    ),
+)
 def strict_recompute_compare(spark, d):
-    """All rows recomputed by a range join agree with the window features, except where
+    """All rows recomputed by folds over days agree with the window features, except where
     a horse starts twice a day (the dataset counts the earlier start of the day)."""
-    from furlong.sources import scans
+    rows = _dataset_rows(spark, d)
+    return features.compare_features(features.strict_recompute(rows), rows)
 
-    typed = scans.dataset_columns(_raw_history(spark, d), _profiles(spark, d))
-    rows = features.dataset_features(typed, _typed_order())
-    expected = features.strict_recompute(rows)
-    return features.compare_features(expected, rows)
+
+@query(
+    "feature_invariance",
+    base.SQL + """, t AS (SELECT count(*) AS compared FROM (SELECT DISTINCT race_id, horse FROM snap) WHERE race_id % 3 = 0)
+SELECT c.kind, t.compared, 0 AS changed FROM t, (VALUES ('future_rows'), ('target_outcomes')) c(kind)""",
+)
+def feature_invariance(spark, d):
+    """Features of a third of the races stay as they are when later starts or their own results change."""
+    rows = features.with_keys(latest.latest_by(
+        _runs(spark, d), ["race_id", "horse_id"], [F.col("captured_at").desc(), F.col("snapshot_id").desc()]
+    )).withColumns({"start": F.col("race_start_at"), "finish_position": F.when(F.col("entrant") != 4, F.col("entrant").cast("double"))})
+    return features.invariance(
+        features.history_features, rows.filter("race_id % 3 = 0"), rows, ["race_id", "horse_id"], features.DERIVED, "start", ["finish_position"]
+    )
 
 
 @query(
