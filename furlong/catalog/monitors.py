@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from furlong import schemas
 from furlong.catalog import base
 from furlong.catalog.history import r6
 from furlong.catalog.registry import query
 from furlong.functions import dates, jsonx, text
 from furlong.operators import filters, latest, quality, windows
-from furlong.plans import coverage, drift, gates, lifecycle
+from furlong.plans import coverage, drift, gates, lifecycle, ml
 from furlong.session import load
 
 
@@ -248,6 +249,46 @@ def coverage_missed(spark, d):
     return gates.missed_races(base.programs(spark, d), base.predictions(spark, d), at("1996-01-01"), at("2000-01-01"))
 
 
+#: Model features that the archived rows carry; the others are unknown.
+_ARCHIVED = {"track": "track", "race_class": "race_class", "distance": "CAST(distance AS BIGINT)", "draw": "entrant", "surface": "surface"}
+_ARCHIVE_FEATURES = ",".join(
+    f'"{c}":' + (
+        f"' || {_ARCHIVED[c]} || '" if c in ("distance", "draw") else f"\"' || {_ARCHIVED[c]} || '\"" if c in _ARCHIVED else "null"
+    )
+    for c in sorted(schemas.MODEL_FEATURES)
+)
+
+
+@query(
+    "prediction_archive",
+    base.SQL + f""", m AS (SELECT * EXCLUDE (rn) FROM (SELECT p.race_id, p.entrant, s.discount, s.odds,
+    row_number() OVER (PARTITION BY p.race_id, p.entrant ORDER BY s.captured_at DESC, s.snapshot_id DESC) AS rn
+  FROM prog p JOIN snap s ON s.race_id = p.race_id AND s.entrant = p.entrant AND s.captured_at <= p.race_start_at - INTERVAL 1 DAY) WHERE rn = 1),
+a AS (SELECT prog.*, m.discount AS md, m.odds AS mo, '{{{_ARCHIVE_FEATURES}}}' AS payload FROM prog LEFT JOIN m USING (race_id, entrant))
+SELECT 'run:' || race_id || ':' || entrant AS prediction_id, race_id, entrant AS horse_id, race_start_at - INTERVAL 1 DAY AS prediction_time,
+  payload AS feature_values_json, sha256('{{"feature_contract_version":"{schemas.CONTRACT_VERSION}","features":' || payload || ',"race_start_at":"' || CAST(race_start_at AS VARCHAR)
+    || '","snapshot_id":' || snapshot_id || ',"source_request_id":"' || source_request_id || '"}}') AS feature_hash,
+  snapshot_id AS feature_snapshot_id, coalesce(CASE WHEN entrant <> 3 THEN md END, 0.5) AS agf_percent,
+  CAST(CASE WHEN md IS NULL THEN 9 ELSE entrant END AS INTEGER) AS agf_rank, mo AS odds
+FROM a""",
+)
+def prediction_archive(spark, d):
+    """Predictions a day before each start; some races have no market by then, entrant 3 has no share."""
+    known = {name: F.expr(sql) for name, sql in _ARCHIVED.items()}
+    scored = base.program(spark, d).withColumn("horse_id", F.col("entrant")).withColumns(
+        {**{c: known.get(c, F.lit(None).cast("double")) for c in schemas.MODEL_FEATURES}, "predicted_rank": F.lit(1),
+         "ensemble_probability": F.lit(0.5), "agf_percent": F.lit(0.5), "agf_rank": F.lit(9), "odds": F.lit(None).cast("double")}
+    )
+    feed = base.snapshots(spark, d).select(
+        "race_id", F.col("entrant").alias("horse_id"), "captured_at", "snapshot_id", "odds",
+        F.when(F.col("entrant") != 3, F.col("discount")).alias("agf_percent"), F.col("entrant").cast("int").alias("agf_rank"),
+    )
+    out = ml.archive(scored, F.col("race_start_at") - F.expr("INTERVAL 1 DAY"), "run", feed, feed, "v1", "p1")
+    return out.select(
+        "prediction_id", "race_id", "horse_id", "prediction_time", "feature_values_json", "feature_hash", "feature_snapshot_id", "agf_percent", "agf_rank", "odds"
+    )
+
+
 @query(
     "coverage_gate",
     base.SQL + """, v AS (SELECT prediction_id, race_id, horse_id, race_start_at, prediction_time, CASE WHEN horse_id = 3 THEN snapshot_id + 1 ELSE snapshot_id END AS sid, CASE WHEN horse_id = 2 THEN 'other' ELSE source_request_id END AS req FROM runs WHERE run >= 2),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furlong import schemas
 from furlong.functions import jsonx, numbers
-from furlong.operators import asof, filters, skew, windows
+from furlong.operators import filters, skew, windows
 from furlong.plans import metrics
 
 
@@ -162,34 +162,42 @@ def score_report(long: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
+def _market_at(times: DataFrame, feed: DataFrame, values: list[str], tie: list[str]) -> DataFrame:
+    """Last row of ``feed`` at or before the prediction time, as ``_`` and the value's name.
+
+    Rows of one capture time are ordered by ``tie``. The join and the aggregate share one
+    partitioning on the race and horse, and the aggregate keeps a single row a key on the map side.
+    """
+    known = feed.select("race_id", "horse_id", "captured_at", *tie, *values).join(times, ["race_id", "horse_id"])
+    last = F.max_by(F.struct(*values), F.struct("captured_at", *tie))
+    seen = known.filter(F.col("captured_at") <= F.col("prediction_time")).groupBy("race_id", "horse_id", "prediction_time").agg(last.alias("_v"))
+    return seen.select("race_id", "horse_id", "prediction_time", *[F.col(f"_v.{v}").alias(f"_{v}") for v in values])
+
+
 def archive(
-    scored: DataFrame, prediction_time: Column, run_id: str, agf: DataFrame, odds: DataFrame, model_version: str
+    scored: DataFrame, prediction_time: Column, run_id: str, agf: DataFrame, odds: DataFrame,
+    model_version: str, pipeline_version: str | None = None, tie: list[str] | None = None,
 ) -> DataFrame:
     """Prediction rows with the market known at prediction time, feature payload and hash.
 
-    Rows whose race has started fail the job; market values of the scored row are the
-    fallback where the feeds have none.
+    One row of a race that has started, or whose start is unknown, fails the job. A market value
+    that the latest capture does not have falls back to the one of the scored row.
     """
-    timed = scored.withColumn("prediction_time", prediction_time)
-    timed = timed.withColumn(
-        "prediction_time",
-        F.when(F.col("prediction_time") < F.col("race_start_at"), F.col("prediction_time")).otherwise(
-            F.raise_error(F.lit("prediction is not before the start")).cast("timestamp")
-        ),
-    )
-    key = ["race_id", "horse_id"]
-    timed = asof.asof_join(
-        timed, agf, key, "prediction_time", "captured_at",
-        {"agf_percent": "_agf_percent", "agf_rank": "_agf_rank"}, allow_exact=True,
-    )
-    timed = asof.asof_join(
-        timed, odds, key, "prediction_time", "captured_at", {"odds": "_odds"}, allow_exact=True
+    early = F.col("prediction_time") < F.col("race_start_at")
+    complaint = F.concat(F.lit("prediction is not before the start of race "), F.coalesce(F.col("race_id").cast("string"), F.lit("?")))
+    timed = scored.withColumn("prediction_time", prediction_time).withColumn(
+        "prediction_time", F.when(early, F.col("prediction_time")).otherwise(F.raise_error(complaint).cast("timestamp"))
     )
+    key, tie = ["race_id", "horse_id", "prediction_time"], tie or ["snapshot_id"]
+    times = timed.select(*key).distinct()
+    timed = timed.join(_market_at(times, agf, ["agf_percent", "agf_rank"], tie), key, "left")
+    timed = timed.join(_market_at(times, odds, ["odds"], tie), key, "left")
     present = lambda c, kind: F.col(c).cast(kind) if c in scored.columns else F.lit(None).cast(kind)
     features = schemas.MODEL_FEATURES
     return timed.select(
         F.concat_ws(":", F.lit(run_id), F.col("race_id").cast("string"), F.col("horse_id").cast("string")).alias("prediction_id"),
-        F.lit(model_version).alias("model_version"), "race_id", "horse_id", "prediction_time", "race_start_at",
+        F.lit(model_version).alias("model_version"), F.lit(pipeline_version).cast("string").alias("pipeline_version"),
+        "race_id", "horse_id", "prediction_time", "race_start_at",
         *[c for c in scored.columns if c.endswith("_probability")], "predicted_rank",
         jsonx.feature_hash(features, "snapshot_id", "source_request_id", "race_start_at", schemas.CONTRACT_VERSION).alias("feature_hash"),
         jsonx.canonical(features).alias("feature_values_json"),
@@ -201,6 +209,14 @@ def archive(
     )
 
 
+def archived_features(archived: DataFrame) -> DataFrame:
+    """The payload table of archived predictions, stamped with their prediction time."""
+    return archived.select(
+        "prediction_id", "race_id", "horse_id", "prediction_time", "race_start_at", "feature_values_json", "feature_hash",
+        "feature_contract_version", F.col("prediction_time").alias("archived_at"),
+    )
+
+
 def permutation_importance(
     model: PipelineModel, df: DataFrame, features: list[str], label: str = "is_win", repeats: int = 3, buckets: int = 256
 ) -> DataFrame:
