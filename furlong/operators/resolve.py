@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furlong.functions import similarity, text
+from furlong.functions import jsonx, numbers, similarity, text
 from furlong.operators import latest
 
 
@@ -549,6 +549,51 @@ def unambiguous_match(programs: DataFrame, results: DataFrame, keys: list[str])
     return both.withColumn("reason", reason)
 
 
+def matched_results(programs: DataFrame, profiles: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of which exactly one programme race and exactly one result exist on the day.
+
+    ``programs`` has horse_id, race_id, race_start_at, race_no, track; ``results`` horse_id, day,
+    finish, race_time, prize, odds; ``profiles`` horse_key, name. Of several races of a day those on
+    unsupported tracks are left out. Where none is left, a horse with an id is looked for under the
+    digest of its profile's name (the first in order, if it has several), as it was stored before its
+    id was known. Everything else is rejected rather than guessed. ``matched_by`` is id or name.
+    """
+    race = ["race_id", "race_start_at", "race_no"]
+    days = programs.withColumn("day", F.to_date("race_start_at")).select("horse_id", "day", *race, "track").distinct()
+    supported = F.coalesce(text.track_policy("track") != "unsupported", F.lit(True))
+    counts = days.groupBy("horse_id", "day").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if(supported).alias("_kept"),
+        F.min(F.struct(*race)).alias("_any"), F.min(F.when(supported, F.struct(*race))).alias("_best"),
+        F.count_distinct(F.struct(*race)).alias("_races"),
+    )
+    several = F.col("_all") > 1
+    direct = counts.select(
+        "horse_id", "day", F.when(several, F.col("_kept")).otherwise(F.col("_all")).alias("_n"),
+        F.when(several, F.col("_best")).otherwise(F.col("_any")).alias("_race"),
+    )
+    digests = profiles.filter("name <> ''").groupBy(F.col("horse_key").alias("horse_id")).agg(F.min("name").alias("_name")).select(
+        "horse_id", jsonx.name_digest("_name").alias("_digest")
+    )
+    stand_ins = counts.filter(F.col("horse_id").startswith("name:") & (F.col("_races") == 1)).select(
+        F.col("horse_id").alias("_digest"), "day", F.col("_any").alias("_named")
+    )
+    values = ["finish", "race_time", "prize", "odds"]
+    single = results.groupBy("horse_id", "day").agg(F.count(F.lit(1)).alias("_results"), F.min(F.struct(*values)).alias("_r")).filter("_results = 1")
+    found = single.join(direct, ["horse_id", "day"], "left")
+    # a name is asked for only where the id has no race
+    found = found.join(digests, "horse_id", "left").withColumn(
+        "_digest", F.when((F.coalesce("_n", F.lit(0)) == 0) & ~F.col("horse_id").startswith("name:"), F.col("_digest"))
+    ).join(stand_ins, ["_digest", "day"], "left")
+    chosen = F.when(F.col("_n") == 1, F.col("_race")).otherwise(F.col("_named"))
+    out = found.withColumn("_race", chosen).filter("_race IS NOT NULL")
+    unknown = F.coalesce(F.col("_r.finish"), F.lit("")) == ""
+    return out.select(
+        "_race.race_id", "horse_id", "_race.race_start_at", "_race.race_no", numbers.decimal_comma("_r.finish").alias("finish_position"),
+        F.col("_r.race_time").alias("finish_time"), numbers.decimal_comma("_r.prize").alias("prize"), numbers.decimal_comma("_r.odds").alias("result_odds"),
+        F.when(unknown, "unknown").otherwise("finished").alias("result_status"), F.when(F.col("_n") == 1, "id").otherwise("name").alias("matched_by"),
+    )
+
+
 def match_results(predictions: DataFrame, results: DataFrame, matched: DataFrame) -> DataFrame:
     """Outcome of predictions not matched yet: latest finished result of the same entrant."""
     newest = latest.latest_by(
