@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cache
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,6 +43,39 @@ def ratio(a: Column, b: Column) -> Column:
     return _udf()(a, b)
 
 
+def subsequences(length: Column, keep: Column) -> Column:
+    """Number of ways to keep ``keep`` of ``length`` letters, as a double."""
+    return F.aggregate(
+        F.when(keep > 0, F.sequence(F.lit(1), keep)).otherwise(F.array().cast("array<int>")),
+        F.lit(1.0), lambda n, i: n * (length - keep + i) / i,
+    )
+
+
+def _cuts(text: pd.Series, prefix: pd.Series, tags: pd.Series, keeps: pd.Series) -> pd.Series:
+    out = []
+    for value, skip, names, lengths in zip(text, prefix, tags, keeps, strict=True):
+        letters, made, keys = value[skip:], {}, []
+        for tag, keep in zip(names, lengths, strict=True):
+            if keep < 0:
+                keys.append(tag)
+                continue
+            if keep not in made:
+                made[keep] = {"".join(c) for c in combinations(letters, keep)}
+            keys += [tag + c for c in made[keep]]
+        out.append(keys)
+    return pd.Series(out)
+
+
+@cache
+def _cuts_udf():
+    return F.pandas_udf(_cuts, T.ArrayType(T.StringType()))
+
+
+def cuts(text: Column, prefix: Column, tags: Column, keeps: Column) -> Column:
+    """Every tag with every subsequence of its length of the text after the prefix; a negative length is the tag alone."""
+    return _cuts_udf()(text, prefix, tags, keeps)
+
+
 def token_sort(value: Column) -> Column:
     return F.array_join(F.array_sort(F.split(value, " ")), " ")
 
