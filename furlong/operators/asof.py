@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,15 @@ def asof_join(
     values: dict[str, str],
     allow_exact: bool = False,
     tie_break: list[str] | None = None,
+    left_unique: bool = False,
 ) -> DataFrame:
     """Attach to each left row the last right row of the same key.
 
     ``values`` maps right columns to output names. Both sides go through one shuffle on the
     key: they are unioned and the last observation is carried forward. ``allow_exact``
     decides whether an observation at the very instant counts. Observations at one instant
-    are ordered by ``tie_break`` (right columns; the largest wins).
+    are ordered by ``tie_break`` (right columns; the largest wins). ``left_unique`` says that the
+    left side has a row per key, so that only the right one can have hot keys.
     """
     ties = tie_break or []
     observed = F.struct(*[F.col(src).alias(dst) for src, dst in values.items()])
@@ -46,9 +50,10 @@ def asof_join(
         feed.withColumn("_left", F.lit(False)), allowMissingColumns=True
     )
     order = ["_time", "_side", *[f"_tie{i}" for i in range(len(ties))]]
-    carried = skew.running(
-        both, on, order, {"_match": ("last", F.col("_seen"))}, include_current=False
-    ).filter("_left")
+    with skew.checked(feed, on) if left_unique else nullcontext():
+        carried = skew.running(
+            both, on, order, {"_match": ("last", F.col("_seen"))}, include_current=False
+        ).filter("_left")
     return carried.select(
         *left.columns, *[F.col(f"_match.{dst}").alias(dst) for dst in values.values()]
     )
