@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import dates, text
 from furlong.operators import filters, latest, resolve
-from furlong.plans.evaluated import latest_programs
+from furlong.plans.evaluated import latest_programs, match_keys
 
 # Reasons in the order in which one decides a race's status.
 REASON_PRIORITY = [
@@ -172,7 +172,7 @@ def race_day(
     )
     out = (
         races.join(pick, "race_id", "left").join(won, "race_id", "left")
-        .join(matched.select("prediction_id", F.lit(True).alias("_matched")).distinct(), "prediction_id", "left")
+        .join(matched.select(*match_keys(matched), F.lit(True).alias("_matched")).distinct(), match_keys(matched), "left")
         .join(
             names.withColumnsRenamed({"horse_id": "top1_horse_id", "horse_name": "_top_name"}),
             ["race_id", "top1_horse_id"], "left",

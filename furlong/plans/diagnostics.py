@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furlong.functions import bands, dates, jsonx, text
 from furlong.operators import latest, sets, skew
-from furlong.plans.evaluated import latest_programs, latest_results
+from furlong.plans.evaluated import latest_programs, latest_results, match_keys
 from furlong.schemas import MODELS
 
 DIMENSIONS = {
@@ -66,7 +66,7 @@ def diagnostics(
         res.select("race_id", "horse_id", "finish_position", "result_odds"), ["race_id", "horse_id"], "left"
     ).join(names, ["race_id", "horse_id"], "left")
     if prediction_results is not None:
-        run = run.join(prediction_results.select("prediction_id", "official_odds"), "prediction_id", "left")
+        run = run.join(prediction_results.select(*match_keys(prediction_results), "official_odds"), match_keys(prediction_results), "left")
     else:
         run = run.withColumn("official_odds", F.lit(None).cast("double"))
     rows = rank_models(run, models, ["finish_position", "result_odds", "horse_name", "official_odds"])

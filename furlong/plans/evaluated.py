@@ -80,6 +80,12 @@ def winners(field: DataFrame) -> DataFrame:
     )
 
 
+def match_keys(prediction_results: DataFrame) -> list[str]:
+    """Keys of a matched prediction. A prediction is of one race; where the table names it, rows
+    are joined inside of their race."""
+    return ["race_id", "prediction_id"] if "race_id" in prediction_results.columns else ["prediction_id"]
+
+
 def evaluated(
     predictions: DataFrame,
     results: DataFrame,
@@ -97,7 +103,7 @@ def evaluated(
     unknown = F.lit(text.UNKNOWN_TRACK)
     core = (
         picks.join(winners(field), "race_id")
-        .join(prediction_results.select("prediction_id", "official_odds"), "prediction_id", "left")
+        .join(prediction_results.select(*match_keys(prediction_results), "official_odds"), match_keys(prediction_results), "left")
         .join(
             field.select(
                 "race_id", "horse_id", "horse_name", "race_class", "surface", "distance",
