@@ -441,7 +441,9 @@ def _coverage_horses(spark, d):
         F.col("snapshot_id").alias("error_id"), F.lit("ApiError").alias("error_type"),
         F.when(F.col("horse") % 20 == 1, "database locked").otherwise("timeout").alias("message"),
     )
-    return coverage.horse_reasons(programs, results, history, errors)
+    return coverage.horse_reasons(programs, results, history, errors).select(
+        "race_id", "entrant", "race_no", "race_start_at", "day", "track", "track_policy", "result_fetched", "missing_reason"
+    )
 
 
 COV = base.SQL + """, pr AS (SELECT race_id, entrant, horse, horse_name, race_no, race_start_at, CAST(race_start_at + INTERVAL 3 HOUR AS DATE) AS day, CASE WHEN horse % 9 <> 0 THEN 'R' || horse END AS rid,

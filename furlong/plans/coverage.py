@@ -26,6 +26,7 @@ def horse_reasons(
 ) -> DataFrame:
     """Why each programme entrant has no result yet.
 
+    Rows stay with their race (race_id is not NULL); see README on coverage.
     programs: race_id, horse_id, horse_name, race_no, race_start_at, track, registry_id (one
     row per entrant); history: horse_key, day, finish; errors: entity_key, day, error_id,
     error_type, message.
@@ -41,45 +42,53 @@ def horse_reasons(
     won = results.filter("result_status = 'finished' AND finish_position = 1").select("race_id").distinct()
     rows = filters.flag_existing(rows, won, ["race_id"], "result_fetched")
 
-    newest = latest.latest_by(errors, ["entity_key", "day"], [F.col("error_id").desc()]).select(
-        "entity_key", "day",
-        F.lower(F.concat_ws(" ", "error_type", "message")).rlike(WRITE_ERROR_WORDS).alias("_w"),
-    )
-    published = history.groupBy("horse_key", "day").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max(~filters.is_missing(F.col("finish"), ["not_available"])).alias("_p"),
+    # What errors, history and the programme know of a key and day, in one group each.
+    wrong = F.lower(F.concat_ws(" ", "error_type", "message")).rlike(WRITE_ERROR_WORDS)
+    facts = errors.select(F.col("entity_key").alias("_key"), "day", F.struct("error_id", wrong.alias("w")).alias("_e"))
+    facts = facts.unionByName(
+        history.select(
+            F.col("horse_key").alias("_key"), "day", F.lit(1).alias("_n"), (~filters.is_missing(F.col("finish"), ["not_available"])).alias("_p")
+        ),
+        allowMissingColumns=True,
+    ).unionByName(rows.select(F.col("registry_key").alias("_key"), "day", F.col("race_id").alias("_race")), allowMissingColumns=True)
+    known = facts.filter("_key IS NOT NULL AND day IS NOT NULL").groupBy("_key", "day").agg(
+        F.max("_e")["w"].alias("_w"), F.count("_n").alias("_n"), F.max("_p").alias("_p"),
+        (F.min("_race") != F.max("_race")).alias("_races"),
     )
+    # Only entrants whose reason the race and its track leave open look them up; they travel as keys.
+    is_open = ~F.col("result_fetched") & (F.col("track_policy") != "unsupported") & F.col("registry_id").isNotNull()
+    keys = ["race_id", "entity_key", "registry_key", "day"]
+    looked_up = rows.filter(is_open).select(*keys).distinct()
     for prefix in ("entity", "registry"):
-        rows = rows.join(
-            newest.select(F.col("entity_key").alias(f"{prefix}_key"), "day", F.col("_w").alias(f"_{prefix}_w")),
-            [f"{prefix}_key", "day"], "left",
-        ).join(
-            published.select(
-                F.col("horse_key").alias(f"{prefix}_key"), "day",
-                F.col("_n").alias(f"_{prefix}_n"), F.col("_p").alias(f"_{prefix}_p"),
-            ),
+        looked_up = looked_up.join(
+            known.select(F.col("_key").alias(f"{prefix}_key"), "day", *[F.col(f"_{c}").alias(f"_{prefix}_{c}") for c in ("w", "n", "p", "races")]),
             [f"{prefix}_key", "day"], "left",
         )
-    starts = rows.groupBy("registry_key", "day").agg(F.count_distinct("race_id").alias("_races"))
-    rows = rows.join(starts, ["registry_key", "day"], "left")
     error = F.coalesce("_entity_w", "_registry_w")
     is_published = F.coalesce("_entity_p", F.lit(False)) | F.coalesce("_registry_p", F.lit(False))
     zero = F.lit(0)
     runs = F.coalesce("_entity_n", zero) + F.when(
         F.col("entity_key") != F.col("registry_key"), F.coalesce("_registry_n", zero)
     ).otherwise(zero)
+    found = (
+        F.when(error, "DB_WRITE_ERROR")
+        .when(error.isNotNull(), "API_ERROR")
+        .when(~is_published, "PROVIDER_RESULT_NOT_PUBLISHED")
+        .when(F.coalesce("_registry_races", F.lit(False)) | (runs > 1), "AMBIGUOUS_PROGRAM_MATCH")
+        .otherwise("DATA_MISSING")
+    )
+    reasons = looked_up.select(*[F.col(c).alias(f"_r_{c}") for c in keys], found.alias("_found"))
+    same = F.col("race_id") == F.col("_r_race_id")
+    for c in keys[1:]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
     reason = (
         F.when(F.col("result_fetched"), "RESULT_CAPTURED")
         .when(F.col("track_policy") == "unsupported", "SOURCE_UNSUPPORTED")
         .when(F.col("registry_id").isNull(), "ID_MISSING")
-        .when(error, "DB_WRITE_ERROR")
-        .when(error.isNotNull(), "API_ERROR")
-        .when(~is_published, "PROVIDER_RESULT_NOT_PUBLISHED")
-        .when((F.col("_races") > 1) | (runs > 1), "AMBIGUOUS_PROGRAM_MATCH")
-        .otherwise("DATA_MISSING")
+        .otherwise(F.col("_found"))
     )
-    return rows.withColumn("missing_reason", reason).drop(
-        *[f"_{p}_{c}" for p in ("entity", "registry") for c in "wnp"], "_races", "entity_key", "registry_key"
+    return rows.join(reasons, same, "left").withColumn("missing_reason", reason).drop(
+        *[f"_r_{c}" for c in keys], "_found", "entity_key", "registry_key"
     )
 
 

@@ -5,7 +5,7 @@ import shutil
 import pytest
 from conftest import rows
 
-from furlong.catalog import base, reports, scores
+from furlong.catalog import base, monitors, reports, scores
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -35,3 +35,18 @@ def test_race_tables_meet_without_a_shuffle(spark, bucketed):
 
 def test_a_race_too_large_for_a_task_is_not_bucketed(spark, bucketed, split_everything):
     assert base.buckets(spark, bucketed) == 0
+
+
+def test_reasons_travel_as_keys_only(spark, bucketed):
+    """Rows stay in their race; what leaves it has no names in it, and comes back to the race once."""
+    plain = rows(monitors._coverage_horses(spark, SOURCE))
+    assert rows(monitors._coverage_horses(spark, bucketed)) == plain
+    from furlong.plans import coverage
+
+    wide = monitors._resolved_programs(spark, bucketed)
+    results = base.results(spark, bucketed).filter("race_id % 2 = 1")
+    none = spark.createDataFrame([], "horse_key string, day date, finish string, entity_key string, error_id bigint, error_type string, message string")
+    out = coverage.horse_reasons(wide, results, none.select("horse_key", "day", "finish"), none.select("entity_key", "day", "error_id", "error_type", "message"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and sum("race_id" in line for line in moved) <= 1
