@@ -5,7 +5,7 @@ import shutil
 import pytest
 from conftest import rows
 
-from furlong.catalog import base, monitors, reports, scores
+from furlong.catalog import base, history, monitors, reports, scores
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -50,3 +50,10 @@ def test_reasons_travel_as_keys_only(spark, bucketed):
     plan = out._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and sum("race_id" in line for line in moved) <= 1
+
+
+def test_feature_frames_shuffle_rows_on_the_horse_once(spark, bucketed):
+    plan = history.incremental_features(spark, bucketed)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_known" in line]
+    once = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "horse_id" in line]
+    assert len(once) == 1
