@@ -212,13 +212,17 @@ def pack_with_ids(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_i
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = table.between(batch.column("at")[0].as_py(), batch.column("at")[-1].as_py())
-                if found["at"].to_pylist() != batch.column("at").to_pylist():
-                    raise RuntimeError("pieces are not read in the order in which they were numbered")
-                for name in ("sequence_id", "offset"):
-                    batch = batch.append_column(name, found[name].combine_chunks())
-                yield batch
+            if not batch.num_rows:
+                continue
+            # A task reads files of several writers in any order, and a batch may hold the end of one and the start of another.
+            at = batch.column("at").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+            found = pa.concat_tables([table.between(int(at[low]), int(at[high - 1])) for low, high in zip(cuts, cuts[1:], strict=False)])
+            if not np.array_equal(found["at"].to_numpy(), at):
+                raise RuntimeError("pieces are not read in the order in which they were numbered")
+            for name in ("sequence_id", "offset"):
+                batch = batch.append_column(name, found[name].combine_chunks())
+            yield batch
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema)
     return numbered.mapInArrow(place, f"{columns}, sequence_id long, offset long").drop("at")

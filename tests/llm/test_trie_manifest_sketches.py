@@ -259,3 +259,12 @@ def test_packing_carries_ids_without_a_shuffle(spark):
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]]
     assert packing.pack_with_ids(pieces.limit(0), 100).count() == 0
+
+
+def test_packing_reads_many_small_files_in_one_batch(spark):
+    """Forty files are read by a few tasks, out of order, so a batch holds rows of several."""
+    pieces = spark.range(400).repartition(40).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "id % 60 + 1 AS length", "encode(string(id), 'utf-8') AS ids")
+    out = packing.pack_with_ids(pieces, 100).toPandas()
+    assert sorted(out.doc_id) == list(range(400)) and (out.length == out.doc_id % 60 + 1).all()
+    for _, rows in out.sort_values("offset").groupby("sequence_id"):
+        assert rows.offset.tolist() == [0, *rows.length.cumsum()[:-1]] and rows.length.sum() <= 100
