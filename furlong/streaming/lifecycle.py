@@ -1,13 +1,14 @@
 """Lifecycle of each race as a keyed state machine driven by event-time timers.
 
-Events wait in the state of their race until the watermark has passed them, so they are applied in
+Events wait in the state of their race's bucket until the watermark has passed them, so they are applied in
 event time whatever files or batches bring them. Every mark before and after the start is a timer
 of its own: when the watermark jumps over several, each is taken at its own time. A race is closed by
-its result and keeps that flag until it expires, a fixed time after its start, when all of its state goes.
+its result and keeps that flag until it expires, a fixed time after its start, when all it held goes.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,8 +19,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from furlong.plans.lifecycle import CAPTURE, EMERGENCY, POST_START, PRE_WINDOW
 
 OUTPUT = "race_id string, state string, at timestamp"
-#: waiting: events not yet reached by the watermark, as "time:kind" joined by commas.
-STATE = "start_ms long, supported boolean, final boolean, result boolean, last string, clock long, waiting string"
+#: The open races of a bucket as JSON, each a list: race_id, start in ms, supported, final, result, last
+#: state, clock, waiting (events not yet reached by the watermark, as "time:kind" joined by commas).
+STATE = "races string"
+COLUMNS = ["race_id", "start_ms", "supported", "at_ms", "kind"]
+#: Races share state by a hash, so Python is called once a bucket and batch, not once a race.
+BUCKETS = 512
 #: Seconds after the start at which a race is forgotten; later events are not of it.
 EXPIRY = 86_400
 # Seconds before (positive) or after the start at which the state may change by time alone.
@@ -84,24 +89,32 @@ def next_timer(state: tuple, now_ms: int) -> int:
     return min(t for t in [*times, start + EXPIRY * 1000] if t > now_ms)
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All races of a bucket: those with events and those held."""
     now = max(state.getCurrentWatermarkMs(), 0)
-    held = state.get if state.exists else None
-    events: list[tuple[int, str]] = []
+    held = {race: tuple(rest) for race, *rest in json.loads(state.get[0])} if state.exists else {}
+    events: dict[str | None, list[tuple[int, str]]] = {}
     if not state.hasTimedOut:
         for batch in batches:
-            if not len(batch):
-                continue
-            if held is None:
-                held = (int(batch["start_ms"].iloc[0]), bool(batch["supported"].iloc[0]), False, False, None, None, "")
-            events += zip(batch["at_ms"].tolist(), batch["kind"].tolist(), strict=True)
-    held, out = advance(tuple(held), events, now)
-    if now >= held[0] + EXPIRY * 1000:
-        state.remove()
+            for race, start, supported, at, kind in zip(*(batch[c].tolist() for c in COLUMNS), strict=True):
+                race = race if isinstance(race, str) else None
+                if race not in held:
+                    held[race] = (start, supported, False, False, None, None, "")
+                events.setdefault(race, []).append((at, kind))
+    out, left, timers = [], [], []
+    for race, before in held.items():
+        after, changes = advance(before, events.get(race, []), now)
+        out += [(str(race), s, t) for t, s in changes]
+        if now < after[0] + EXPIRY * 1000:
+            left.append((race, *after))
+            timers.append(next_timer(after, now))
+    if left:
+        state.update((json.dumps(left, separators=(",", ":")),))
+        state.setTimeoutTimestamp(min(timers))
     else:
-        state.update(held)
-        state.setTimeoutTimestamp(next_timer(held, now))
-    yield pd.DataFrame({"race_id": [str(key[0])] * len(out), "state": [s for _, s in out], "at": pd.to_datetime([t for t, _ in out], unit="ms")})
+        state.remove()
+    races, states, times = zip(*out, strict=True) if out else ((), (), ())
+    yield pd.DataFrame({"race_id": list(races), "state": list(states), "at": pd.to_datetime(list(times), unit="ms")})
 
 
 def transitions(events: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -112,10 +125,11 @@ def transitions(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     are dropped. State holds open races and those of the last day."""
     supported = F.col("supported") if "supported" in events.columns else F.lit(True)
     start = F.unix_millis("race_start_at")
+    race = F.col("race_id").cast("string")
     keyed = events.filter(F.unix_millis("at") < start + EXPIRY * 1000).select(
-        F.col("race_id").cast("string").alias("race_id"), start.alias("start_ms"), F.coalesce(supported, F.lit(False)).alias("supported"),
+        F.pmod(F.xxhash64(race), F.lit(BUCKETS)).alias("bucket"), race.alias("race_id"), start.alias("start_ms"), F.coalesce(supported, F.lit(False)).alias("supported"),
         "kind", "at", F.unix_millis("at").alias("at_ms"),
     ).withWatermark("at", delay)
-    return keyed.groupBy("race_id").applyInPandasWithState(
+    return keyed.groupBy("bucket").applyInPandasWithState(
         _step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

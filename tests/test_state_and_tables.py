@@ -66,6 +66,24 @@ def test_lifecycle_does_not_depend_on_batches(spark, tmp_path, files):
     assert [s for r, s, _ in in_order if r == "late result"][-2:] == ["FAILED", "RESULT_CAPTURED"]
 
 
+def test_lifecycle_keeps_state_by_bucket_not_by_race(spark, tmp_path, monkeypatch):
+    """Python is called once a bucket and batch; what a bucket holds goes with its last race."""
+    monkeypatch.setattr(lifecycle, "BUCKETS", 4, raising=False)
+    for k, (names, hours) in enumerate([(range(90), 0), (range(90, 120), 40), ([None], 100)]):
+        rows = [(None if n is None else f"r{n}", at(0) + dt.timedelta(hours=hours), "seen", at(-100) + dt.timedelta(hours=hours), True) for n in names]
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = (
+        lifecycle.transitions(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 and held[-1] == 1
+    out = spark.read.parquet(f"{tmp_path}/out").groupBy("race_id").count().collect()
+    assert {r.race_id: r["count"] for r in out} == {f"r{n}": 6 for n in range(120)}
+
+
 def test_a_race_is_forgotten_a_day_after_its_start():
     start = 10**12
     held, out = lifecycle.advance((start, True, False, False, None, None, ""), [(start - 10**7, "seen")], start + 10**6)
