@@ -44,6 +44,8 @@ BLOCK_BYTES = 4 << 20
 ROUNDS = 2
 #: Sets and bytes of a block, and tokens of a matrix, when what is left is compared.
 BLOCK_SETS, SET_BYTES, COLUMNS = 512, 4 << 20, 4096
+#: Pairs of sketches that are compared at once.
+PAIRS = 4096
 
 
 @lru_cache(1024)
@@ -74,6 +76,28 @@ def may_link(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int, siz
     return both >= least_shared(len(union), numerator, denominator)
 
 
+def may_link_pairs(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, numerator: int, denominator: int, size: int = KEPT) -> np.ndarray:
+    """may_link() of the sketches left[i] and right[j], many pairs at once."""
+    sets = left + right
+    tokens, place = np.unique(np.concatenate(sets), return_inverse=True)
+    lengths = np.array([len(s) for s in sets])
+    codes = np.full((len(sets), size), len(tokens), np.int32)  # in the order of the values; what is left of a row is none
+    codes[np.arange(size) < lengths[:, None]] = place
+    out = np.zeros(len(i), bool)
+    for low in range(0, len(i), PAIRS):
+        some = slice(low, low + PAIRS)
+        both = np.concatenate([codes[i[some]], codes[len(left) + j[some]]], axis=1)
+        both.sort(axis=1)
+        again = np.zeros(both.shape, bool)
+        again[:, 1:] = both[:, 1:] == both[:, :-1]
+        real = both < len(tokens)
+        rank = np.cumsum(real & ~again, axis=1)
+        shared = (real & again & (rank <= size)).sum(axis=1)
+        union = np.minimum(rank[:, -1], size)
+        out[some] = np.where(union < size, denominator * shared >= numerator * union, shared >= least_shared(size, numerator, denominator))
+    return out
+
+
 def linked(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return denominator * common >= numerator * (len(x) + len(y) - common)
@@ -210,16 +234,17 @@ def compare_residue(residue: DataFrame, sketched: DataFrame, sets: DataFrame, nu
     for the rows that the estimate leaves, of full sets."""
 
     def estimate(group: pa.Table) -> pa.Table:
-        left, right, x, y = _sides(group, "sketch", lambda v: np.sort(np.array(v.as_py(), np.int64).view(np.uint64)))
+        left, right, x, y = _sides(group, "sketch", lambda v: np.sort(v.values.to_numpy().view(np.uint64)))
         if not x or not y:
             return group.slice(0, 0).drop_columns(["sketch"])
         named = group["c"].to_numpy()
         need_x, need_y = (np.array([needed(len(s), numerator, denominator, kept) for s in side]) for side in (x, y))
         near = (overlaps(x, y) >= np.minimum(need_x[:, None], need_y[None, :])) & (named[left][:, None] != named[right][None, :])
         stay = np.zeros(group.num_rows, bool)
-        for i, j in zip(*np.nonzero(near), strict=True):
-            if not (stay[left[i]] and stay[right[j]]) and may_link(x[i], y[j], numerator, denominator, kept):
-                stay[left[i]] = stay[right[j]] = True
+        i, j = np.nonzero(near)
+        if len(i):
+            hit = may_link_pairs(x, y, i, j, numerator, denominator, kept)
+            stay[left[i[hit]]] = stay[right[j[hit]]] = True
         return group.drop_columns(["sketch"]).filter(pa.array(stay))
 
     def exact(group: pa.Table) -> pa.Table:

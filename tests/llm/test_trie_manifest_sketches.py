@@ -268,3 +268,18 @@ def test_packing_reads_many_small_files_in_one_batch(spark):
     assert sorted(out.doc_id) == list(range(400)) and (out.length == out.doc_id % 60 + 1).all()
     for _, rows in out.sort_values("offset").groupby("sequence_id"):
         assert rows.offset.tolist() == [0, *rows.length.cumsum()[:-1]] and rows.length.sum() <= 100
+
+
+def test_sketches_of_many_pairs_are_compared_at_once(monkeypatch):
+    """The same answer as pair by pair, for small sets, full sketches and values at the ends of the range."""
+    monkeypatch.setattr(bottomk, "PAIRS", 100)
+    draw = np.random.default_rng(5)
+    top = np.uint64(2**64 - 1)
+    pool = np.unique(np.append(draw.integers(0, 2**64 - 1, 90, np.uint64), [np.uint64(0), top]))
+    sides = [[np.sort(draw.choice(pool, draw.integers(1, 91), replace=False))[:64] for _ in range(40)] for _ in range(2)]
+    sides[1] += sides[0][:5]
+    sides[0].append(np.array([top], np.uint64))
+    sides[1].append(np.array([top], np.uint64))
+    i, j = (x.ravel() for x in np.indices((len(sides[0]), len(sides[1]))))
+    got = bottomk.may_link_pairs(*sides, i, j, 80, 100)
+    assert got.tolist() == [bottomk.may_link(sides[0][a], sides[1][b], 80, 100) for a, b in zip(i, j, strict=True)] and 0 < got.sum() < len(got)
