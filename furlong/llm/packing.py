@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furlong.llm.sidetable import side_table
-from furlong.llm.storage import stored
-from furlong.llm.tokens import encode_column
+from furlong.llm.storage import give_back, stored
+from furlong.llm.tokens import encode_column, forget
 
 CAPACITY = 4096
 #: Items of a region, islands of a region, epochs with a migration after each but the last,
@@ -55,6 +55,7 @@ def token_pieces(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY
                 [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * capacity, pa.int64()), pa.array(length, pa.int64()), raw.cast(pa.binary())],
                 names=[key, "piece", "start", "length", "ids"],
             )
+            give_back()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(cut, f"`{key}` {kind}, {PIECES}")
@@ -139,6 +140,7 @@ def _epoch(items: DataFrame, epoch: int, capacity: int) -> DataFrame:
     bin set to the island's elite. bin and migrant are the packing kept and the one that came in."""
 
     def island(group: pd.DataFrame) -> pd.DataFrame:
+        forget()
         group = group.sort_values("item", ignore_index=True)
         lengths = group["length"].tolist()
         draw = random.Random(zlib.crc32(repr((int(group["region"][0]), int(group["island"][0]), epoch)).encode()))
@@ -211,6 +213,7 @@ def pack_with_ids(pieces: DataFrame, capacity: int = CAPACITY, key: str = "doc_i
     table = side_table(pack(numbered.select(key, "at", "length"), capacity, key).select("at", "sequence_id", "offset"), "at", "places")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if not batch.num_rows:
                 continue

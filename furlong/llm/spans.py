@@ -144,7 +144,7 @@ class Index:
         if self.count * 3 > 1 << self.bits:
             used = self.numbers >= 0
             keys, numbers = np.concatenate([self.keys[used], keys]), np.concatenate([self.numbers[used], numbers])
-            self._room(max(self.bits, (self.count * 6).bit_length()))
+            self._room(max(self.bits, (self.count * 3).bit_length()))
         slot = self._slot(keys)
         while len(keys):
             free = self.numbers[slot] < 0

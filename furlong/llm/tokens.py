@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 from furlong.llm.spans import Index, column_bytes, hash_spans, row_starts
+from furlong.llm.storage import give_back
 
 #: Ids kept in the table of a worker; beyond, the table starts again.
 TABLE_IDS = 8_000_000
@@ -184,6 +185,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop the tokenizers of this Python worker and their tables. Workers live on from stage to stage,
+    so tasks that follow the encoding and need none call this first."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        give_back()
+
+
 def encode_column(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text followed by end_id, end to end, and where each row starts (n + 1)."""
     buf, offsets = column_bytes(column)

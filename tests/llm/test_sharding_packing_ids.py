@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from llm_tables import table  # noqa: F401
-from furlong.llm import idfile, packing, sharding
+from furlong.llm import idfile, packing, sharding, tokens
 from furlong.llm.spans import Index, mix
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -28,6 +30,29 @@ def test_index_numbers_keys():
     assert (index.find(mix(np.arange(5000, 6000, dtype=np.uint64))) == -1).all()
 
 
+def test_index_takes_six_slots_a_key_at_most():
+    index, keys = Index(4), mix(np.arange(30_000, dtype=np.uint64))
+    for at in range(0, len(keys), 500):
+        index.add(keys[at : at + 500])
+        assert 3 * index.count <= len(index.keys) <= max(16, 6 * index.count)
+    assert (index.find(keys) == np.arange(len(keys))).all()
+
+
+def test_packing_drops_the_tokenizer_of_a_worker_once_ids_are_made():
+    class Items:
+        def groupBy(self, *_):
+            return self
+
+        def applyInPandas(self, work, _):
+            return work
+
+    tokens.encode_column(pa.array(["some words"]), WORDS, 1)
+    assert tokens.encoder.cache_info().currsize
+    group = pd.DataFrame({"region": 0, "island": 0, "item": [0, 1], "length": [3000, 2000], "bin": -1, "migrant": -1})
+    assert len(set(packing._epoch(Items(), 0, 4096)(group)["bin"])) == 2
+    assert not tokens.encoder.cache_info().currsize
+
+
 def test_rendezvous_moves_only_into_the_new_shard_and_follows_weights(spark):
     df = spark.range(20000).select(sharding.rendezvous(["id"], [1.0] * 4).alias("a"), sharding.rendezvous(["id"], [1.0] * 5).alias("b"), sharding.rendezvous(["id"], [3.0, 1.0, 0.0]).alias("w")).toPandas()
     moved = df[df.a != df.b]
