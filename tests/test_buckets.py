@@ -1,11 +1,14 @@
 """Race tables in buckets: same rows, and reports on a race move nothing between tasks."""
 
 import shutil
+from functools import partial
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from furlong.catalog import base, history, monitors, reports, scores
+from furlong.operators import skew, windows
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -57,3 +60,26 @@ def test_feature_frames_shuffle_rows_on_the_horse_once(spark, bucketed):
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_known" in line]
     once = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line and "horse_id" in line]
     assert len(once) == 1
+
+
+def test_backtest_ranks_entrants_where_their_race_lies(spark, bucketed, monkeypatch):
+    """Both folds are reported without a shuffle of the entrants by race, and without looking for hot races."""
+    monkeypatch.setattr(scores.ml, "fit", lambda train, models: {})
+
+    def score(df, models):
+        with_p = df.withColumns({f"{m}_probability": F.col("price") / 200_000 for m in ("logistic", "ensemble")})
+        return windows.rank_first(with_p, ["race_id"], "ensemble_probability", ["horse_id"])
+
+    monkeypatch.setattr(scores.ml, "score", score)
+    monkeypatch.setattr(scores.ml, "long_scores", partial(lambda make, scored, models: make(scored, ["logistic", "ensemble"]), scores.ml.long_scores))
+    plain = rows(scores.ml_temporal_backtest(spark, SOURCE).select("split", "model", "rows", "races", "top1_accuracy"))
+    looked = []
+    monkeypatch.setattr(skew, "_input_bytes", lambda df: looked.append(df.columns))
+    spark.conf.set("spark.furlong.hotKeyRows", "1000000")
+    df = scores.ml_temporal_backtest(spark, bucketed)
+    spark.conf.unset("spark.furlong.hotKeyRows")
+    assert not [columns for columns in looked if "race_id" in columns]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "race_id" in line]
+    assert sorted(map(str, rows(df.select("split", "model", "rows", "races", "top1_accuracy")))) == sorted(map(str, plain)) and len(plain) == 4
