@@ -43,6 +43,12 @@ def ratio(a: Column, b: Column) -> Column:
     return _udf()(a, b)
 
 
+def ratio_once(a: Column, b: Column) -> Column:
+    """The ratio, in a form that a filter on it never moves below the ``distinct`` of the pairs, where it would be
+    computed for every repeat of a pair and once more above. Same value in every run."""
+    return F.pandas_udf(_ratios, T.DoubleType()).asNondeterministic()(a, b)
+
+
 def subsequences(length: Column, keep: Column) -> Column:
     """Number of ways to keep ``keep`` of ``length`` letters, as a double."""
     return F.aggregate(
@@ -85,6 +91,18 @@ def best_ratio(a: Column, b: Column) -> Column:
     return F.greatest(ratio(a, b), ratio(token_sort(a), token_sort(b)))
 
 
+def _best_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    resorted = lambda x: None if x is None else " ".join(sorted(x.split(" ")))
+    return pd.Series(
+        [None if x is None or y is None else max(indel_ratio(x, y), indel_ratio(resorted(x), resorted(y))) for x, y in zip(a, b, strict=True)], dtype="float64"
+    )
+
+
+def best_ratio_once(a: Column, b: Column) -> Column:
+    """``best_ratio`` as ``ratio_once``."""
+    return F.pandas_udf(_best_ratios, T.DoubleType()).asNondeterministic()(a, b)
+
+
 def _window(short: str, long: str) -> float:
     """Best ratio of the shorter text with any stretch of the longer one of its length, the ends included."""
     n, best = len(short), 0.0
@@ -161,6 +179,11 @@ def _composite_udf():
     return F.pandas_udf(_composites, T.DoubleType())
 
 
+def composite_once(a: Column, b: Column) -> Column:
+    """``composite`` as ``ratio_once``."""
+    return F.pandas_udf(_composites, T.DoubleType()).asNondeterministic()(a, b)
+
+
 def composite(a: Column, b: Column) -> Column:
     """Composite score 0 to 100 of two names; see composite_ratio."""
     return _composite_udf()(a, b)

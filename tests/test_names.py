@@ -79,6 +79,20 @@ def test_links_show_their_evidence(spark):
     assert out[3].right_id == 3 and out[3].score == pytest.approx(0.55 * out[3].name_score + 45) and out[3].father_score == 100.0 and out[3].runner_up is None
 
 
+def test_only_records_that_reach_the_threshold_stand_against_a_link(spark):
+    people = [(1, "SEA STAR RUNNER", "FATHER", "MOTHER"), (2, "SEA STAR RUNNERS", "FATHER", "MATTER"), *[(10 + i, "LONG WAY HOME" + "S" * (i > 0), "F" + "X" * (i == 2), "M") for i in range(3)]]
+    asked = [(1, "SEA STAR RUNNE", "FATHER", "MOTHER"), (7, "LONG WAY HOMEE", "F", "M")]
+    schema = "id int, name string, father_name string, mother_name string"
+    left, right = spark.createDataFrame(asked, schema), spark.createDataFrame(people, schema)
+    part = similarity.composite_ratio
+    scored = {a: {p[0]: sum(w * part(x, y) for w, x, y in zip((0.55, 0.225, 0.225), t, p[1:], strict=True)) for p in people} for a, *t in asked}
+    assert scored[1][1] >= 97 > scored[1][2] > scored[1][1] - 10
+    out = {r.left_id: r for r in resolve.composite_links(left, right, 97.0, 10.0).collect()}
+    assert set(out) == {1, 7} and all((r.runner_up, r.candidates) == (None, 1) for r in out.values()) and out[1].right_id == 1
+    wide = {r.left_id: r for r in resolve.composite_links(left, right, 92.0, 0.1).collect()}
+    assert wide[7].candidates == sum(s >= 92.0 for s in scored[7].values()) == 3
+
+
 def test_report_sentences(spark):
     said = [
         "4. koşuda 7 numarada kayıtlı KARA YEL isimli at", "2.  Koşuda 11 numaralı kayıtlı olarak koşan Çelik-Bilek isimli at topal", "5 numara kayıtlı RÜZGAR isimli at",
