@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,11 +92,15 @@ def best_ratio(a: Column, b: Column) -> Column:
     return F.greatest(ratio(a, b), ratio(token_sort(a), token_sort(b)))
 
 
+def best_of(a: str, b: str) -> float:
+    """``best_ratio`` of two texts."""
+    x, y = " ".join(sorted(a.split(" "))), " ".join(sorted(b.split(" ")))
+    plain = indel_ratio(a, b)
+    return plain if x == a and y == b else max(plain, indel_ratio(x, y))
+
+
 def _best_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    resorted = lambda x: None if x is None else " ".join(sorted(x.split(" ")))
-    return pd.Series(
-        [None if x is None or y is None else max(indel_ratio(x, y), indel_ratio(resorted(x), resorted(y))) for x, y in zip(a, b, strict=True)], dtype="float64"
-    )
+    return pd.Series([None if x is None or y is None else best_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def best_ratio_once(a: Column, b: Column) -> Column:
@@ -103,6 +108,57 @@ def best_ratio_once(a: Column, b: Column) -> Column:
     return F.pandas_udf(_best_ratios, T.DoubleType()).asNondeterministic()(a, b)
 
 
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has each letter, one row for each letter that occurs; for ASCII texts."""
+    counts = np.zeros((128, len(texts)), np.int16)
+    for i, text in enumerate(texts):
+        np.add.at(counts[:, i], np.frombuffer(text.encode("ascii"), np.uint8), 1)
+    return counts
+
+
+def _bound(shared: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """No ratio, plain or of sorted words, is higher for texts of that total length with so many letters in common."""
+    return np.where(length == 0, 100.0, 200.0 * shared / np.maximum(length, 1))
+
+
+def weighted_matches(group: pd.DataFrame, threshold: float, name_cutoff: float, slab: int = 1 << 21) -> pd.DataFrame:
+    """Pairs of triples of one sire (rows without and with right_id) whose weighted score reaches the threshold.
+
+    Letters in common bound the ratios, so all but few pairs are left out by counts before they are compared."""
+    out: list[tuple] = []
+    for father, rows in group.groupby("l_father_name", sort=False):
+        right = rows["_n"].notna().to_numpy()
+        if right.all() or not right.any():
+            continue
+        sides = []
+        for mask in (~right, right):
+            names, mothers = rows["_name"][mask].tolist(), rows["_mother"][mask].tolist()
+            sides.append((names, mothers, _letters(names), _letters(mothers), np.array([len(x) for x in names]), np.array([len(x) for x in mothers])))
+        (ln, lm, lnc, lmc, lnl, lml), (rn, rm, rnc, rmc, rnl, rml) = sides
+        fs, ids, ns = rows["_f"][right].to_numpy(), rows["right_id"][right].tolist(), rows["_n"][right].tolist()
+        step = max(1, slab // len(rn))
+        for low in range(0, len(ln), step):
+            part = slice(low, low + step)
+            shared = np.zeros((len(ln[part]), len(rn)), np.int16)
+            for c in np.flatnonzero(lnc[:, part].any(axis=1) & rnc.any(axis=1)):
+                shared += np.minimum(lnc[c, part][:, None], rnc[c][None, :])
+            name = _bound(shared, lnl[part][:, None] + rnl[None, :])
+            x, y = np.nonzero((name >= name_cutoff - 1e-9) & (0.55 * name + 0.225 * fs[None, :] + 22.5 >= threshold - 1e-9))
+            name, x = name[x, y], x + low
+            for at in range(0, len(x), 1 << 16):
+                i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                mother = _bound(np.minimum(lmc[:, i], rmc[:, j]).sum(axis=0), lml[i] + rml[j])
+                may = 0.55 * name[at : at + (1 << 16)] + 0.225 * fs[j] + 0.225 * mother >= threshold - 1e-9
+                for i, j, most in zip(i[may].tolist(), j[may].tolist(), mother[may].tolist(), strict=True):
+                    n = best_of(ln[i], rn[j])
+                    if n < name_cutoff or 0.55 * n + 0.225 * fs[j] + 0.225 * most < threshold - 1e-9:
+                        continue
+                    score = 0.55 * n + 0.225 * float(fs[j]) + 0.225 * best_of(lm[i], rm[j])
+                    if score >= threshold:
+                        out.append((ln[i], father, lm[i], ids[j], int(ns[j]), score))
+    return pd.DataFrame(out, columns=["l_name", "l_father_name", "l_mother_name", "right_id", "_n", "score"])
+
+
 def _window(short: str, long: str) -> float:
     """Best ratio of the shorter text with any stretch of the longer one of its length, the ends included."""
     n, best = len(short), 0.0
