@@ -206,8 +206,8 @@ m AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY lengt
 def exact_dictionary_match(spark, d):
     words = load(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " ")).alias("w"))
     names = words.select(F.upper("w").alias("name")).distinct()
-    docs = load(spark, d, "documents").select("doc_id", text.clean_name("text").alias("body"))
-    return resolve.dictionary_match(docs, names, "doc_id", "body", "name").select("doc_id", "name")
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    return resolve.dictionary_match(docs, names, "doc_id", "text", "name", clean=text.clean_name).select("doc_id", "name")
 
 
 _LETTERS = "'0123456789', 'ABCDEFGHIJ'"

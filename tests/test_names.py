@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from furlong import catalog
-from furlong.functions import similarity
+from furlong.functions import similarity, text
 from furlong.operators import resolve
 from furlong.sources import report_text
 
@@ -80,6 +80,20 @@ def test_links_show_their_evidence(spark):
     assert out[3].right_id == 3 and out[3].score == pytest.approx(0.55 * out[3].name_score + 45) and out[3].father_score == 100.0 and out[3].runner_up is None
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_longest_name_inside_words_and_across_them(spark, monkeypatch, few):
+    monkeypatch.setattr(resolve, "FEW_WORDS", few)
+    said = ["the xx-SEAS\ntars run", "Starch, star!", "deep blue sea here", "deepblue", None, "", "sta r", "çelİk and Celika"]
+    known = ["STAR", "STARS", "TARC", "EASTARS", "BLUE SEA", "EEPBL", "CELIK", "AB"]
+    texts = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, t string")
+    out = resolve.dictionary_match(texts, spark.createDataFrame([(n,) for n in known], "n string"), "i", "t", "n", clean=text.clean_name)
+    bodies = {r.i: r.b for r in texts.select("i", text.clean_name("t").alias("b")).collect()}
+    want = {(i, min((n for n in known if len(n) >= 4 and n in b), key=lambda n: (-len(n), n))) for i, b in bodies.items() if any(len(n) >= 4 and n in b for n in known)}
+    assert set(map(tuple, out.select("i", "n").collect())) == want and len(want) == 5
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # no stretch of a text at every letter of it
+
+
 def test_name_chain_sends_no_names_through_the_driver(spark):
     plan = catalog.queries()["name_chain"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # events and what was found for them, not the plan of every step before
