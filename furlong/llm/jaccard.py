@@ -21,6 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from furlong.llm import exchange
 from furlong.llm.components import components
 from furlong.llm.exchange import Block
 from furlong.llm.spans import LOWER_VALUE, chain, column_bytes, hash_spans, mix, words
-from furlong.llm.storage import stored
+from furlong.llm.storage import give_back, new_path, stored
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Sets up to this size are indexed with one-deletion neighbourhoods; larger ones get some spare
@@ -257,18 +259,43 @@ def compare_residue(residue: DataFrame, sets: DataFrame, numerator: int, denomin
     """Linked pairs (a, b) of different components among rows (row, size, c, family) of one family.
 
     A family is dealt into blocks by size; two blocks meet in one task if their sizes allow a link,
-    and are compared there as matrices. A pair never becomes a row unless it is linked."""
+    and are compared there as matrices. A pair never becomes a row unless it is linked, and a set
+    is a row of two shuffles and a file, whatever number of blocks it meets."""
     order = Window.partitionBy("family").orderBy("size", "row")
     dealt = residue.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK_SETS))
     dealt = stored(dealt, "residue")
     spans = dealt.groupBy("family", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     other = spans.select("family", F.col("block").alias("block2"), F.col("low").alias("low2"))
     meets = spans.join(other, "family").where((F.col("block") <= F.col("block2")) & (F.col("high") * denominator >= F.col("low2") * numerator)).select("family", "block", "block2")
-    meets = meets.select("family", "block", "block2", F.explode(F.when(F.col("block") < F.col("block2"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("side"))
-    meets = meets.withColumn("at", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("block2")))
-    full = dealt.join(sets.select("row", "tokens"), "row").withColumnRenamed("block", "at")
-    met = full.join(meets, ["family", "at"]).select("family", "block", "block2", "side", "row", "c", "tokens")
-    return met.groupBy("family", "block", "block2").applyInArrow(lambda group: _linked_across(group, numerator, denominator), "a long, b long")
+    full = dealt.join(sets.select("row", "tokens"), "row").select("family", "block", "row", "c", "tokens")
+    within = full.withColumns({"block2": F.col("block"), "side": F.lit(0)}).groupBy("family", "block", "block2").applyInArrow(lambda group: _linked_across(group, numerator, denominator), "a long, b long")
+    across = meets.where("block < block2")
+    several = full.join(spans.where("block = 1").select("family"), "family", "left_semi")
+    # Tokens are stored once, a folder for each block; beside every block that it meets they would be shuffled as often.
+    path = new_path(residue.sparkSession, "blocks")
+    of = lambda block: F.concat_ws("_", "family", block)
+    several.select("row", "c", "tokens", of("block").alias("of")).repartition("of").write.partitionBy("of").option("compression", "zstd").parquet(path)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+        @lru_cache(1)
+        def block(name: str) -> pa.Table:
+            files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/of={name}")) if f.path.endswith(".parquet")]
+            return pa.concat_tables([pq.ParquetFile(f, filesystem=fs).read(columns=["row", "c", "tokens"]) for f in files])
+
+        for batch in batches:
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left = block(one)
+                right = block.__wrapped__(two)
+                sides = [t.append_column("side", pa.array(np.full(t.num_rows, i))) for i, t in enumerate((left, right))]
+                yield from _linked_across(pa.concat_tables(sides).combine_chunks(), numerator, denominator).to_batches()
+                give_back()
+
+    pairs = across.select(of("block").alias("one"), of("block2").alias("two"))
+    tasks = int(residue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "one", "two").sortWithinPartitions("one")
+    return within.unionByName(pairs.mapInArrow(compared, "a long, b long"))
 
 
 def link_components(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:

@@ -207,3 +207,17 @@ def test_similar_fingerprints_against_brute_force(table):
     names = sorted(first.values())
     want = {(a, b) for a in names for b in names if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == want
+
+
+def test_sets_of_a_large_family_are_not_repeated_for_the_blocks_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    base = np.arange(1000, 1100, dtype=np.uint64)
+    tokens = {i: np.unique(np.concatenate([base[: 100 - i % 9], np.arange(i * 50, i * 50 + 10 + i % 5, dtype=np.uint64)])) for i in range(40)}
+    sets = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in tokens.items()], "row long, tokens binary")
+    residue = spark.createDataFrame([(i, len(t), i // 2, i // 30) for i, t in tokens.items()], "row long, size long, c long, family long")
+    out = jaccard.compare_residue(residue, sets, 80, 100)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    common = lambda x, y: len(np.intersect1d(tokens[x], tokens[y]))
+    linked = lambda x, y: 100 * common(x, y) >= 80 * (len(tokens[x]) + len(tokens[y]) - common(x, y))
+    want = {(x, y) for x in tokens for y in tokens if x < y and x // 30 == y // 30 and x // 2 != y // 2 and linked(x, y)}
+    assert {tuple(sorted(r)) for r in out.collect()} == want and 0 < len(want) < 400
